@@ -38,11 +38,12 @@ def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, deletes toxic ones, revises those of low quality (repeated lines go), replays."""
+    """Loads all documents, revises those with repeated lines (each line stays once), deletes toxic ones, sends batches again.
+
+    Batches move counts, not texts: a document's id finds its row in the ledger.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    poor = labels.filter("quality = 0").select("doc_id").distinct()
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
     scratch = Scratch(spark, "rollup")
     rollup = Rollup(spark, f"{scratch.root}/rollup")
     versions = [(WORDS, None), ("word_bpe_49k", tokenizer_path())]
@@ -52,11 +53,13 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out[0].unionByName(out[1])
 
     ledger = scratch.table(counts(docs), "ledger")
-    gone = ledger.join(toxic, "doc_id", "left_semi")
-    kept = docs.join(poor, "doc_id", "left_semi").join(toxic, "doc_id", "left_anti")
-    old = ledger.join(poor, "doc_id", "left_semi").join(toxic, "doc_id", "left_anti")
-    new = counts(kept.withColumn("text", distinct_lines(F.col("text"))))
-    for batch, changes in (("load", signed(ledger, 1)), ("toxic", signed(gone, -1)), ("lines", revised(old, new)), ("load", signed(ledger, 1)), ("toxic", signed(gone, -1))):
+    shorter = docs.filter("doc_id is not null").withColumn("once", distinct_lines(F.col("text"))).filter("once <> text")
+    new = scratch.table(counts(shorter.select("doc_id", "source", "lang", F.col("once").alias("text"))), "revised")
+    ids = new.select("doc_id").distinct()
+    old = ledger.join(ids, "doc_id", "left_semi")
+    gone = ledger.join(ids, "doc_id", "left_anti").unionByName(new).join(toxic, "doc_id", "left_semi")
+    batches = [("load", signed(ledger, 1)), ("lines", revised(old, new)), ("toxic", signed(gone, -1))]
+    for batch, changes in batches + batches[:2]:
         rollup.commit(batch, changes)  # the last two were there before: nothing happens
     rollup.compact()
     return rollup.totals()
