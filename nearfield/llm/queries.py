@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
+from .fingerprint import fingerprints
 from .mixing import mix_copies, source_targets
 from .token_rollup import WORDS, Rollup, count_tokens, distinct_lines, revised, signed
 from .url_filter import Rule, filter_urls
@@ -37,6 +38,10 @@ def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents, revises those with repeated lines (each line stays once), deletes toxic ones, sends batches again.
 
@@ -73,6 +78,7 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_filter_urls": op2_filter_urls,
+        "op5_fingerprints": op5_fingerprints,
         "op8_token_rollup": op8_token_rollup,
         "op9_warc": op9_warc,
     }
