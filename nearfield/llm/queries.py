@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
 from .fingerprint import fingerprints
+from .minhash import near_duplicates
 from .mixing import mix_copies, source_targets
 from .token_rollup import WORDS, Rollup, count_tokens, distinct_lines, revised, signed
 from .url_filter import Rule, filter_urls
@@ -74,6 +75,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle_and_read(spark, read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_duplicates(docs, shingle=3, percent=85, with_rows=False)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -81,6 +88,7 @@ def queries() -> dict:
         "op5_fingerprints": op5_fingerprints,
         "op8_token_rollup": op8_token_rollup,
         "op9_warc": op9_warc,
+        "op10_minhash": op10_minhash,
     }
 
 
