@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
+from .decontaminate import leaks
 from .fingerprint import fingerprints
 from .minhash import near_duplicates
 from .mixing import mix_copies, source_targets
@@ -39,6 +40,10 @@ def op2_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,6 +90,7 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_filter_urls": op2_filter_urls,
+        "op3_decontaminate": op3_decontaminate,
         "op5_fingerprints": op5_fingerprints,
         "op8_token_rollup": op8_token_rollup,
         "op9_warc": op9_warc,
