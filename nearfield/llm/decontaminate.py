@@ -34,7 +34,7 @@ COVERAGE = 0.5
 CONSISTENT = 0.5
 #: Units of measure that a number can carry.
 UNITS = "km m cm mm mi ft kg g mg lb oz l ml h hr hrs min mins s sec ms kb mb gb tb hz khz mhz ghz v w kw kwh mph usd eur gbp percent dollars euros pounds miles meters metres kilometers kilometres grams kilograms litres liters hours minutes seconds days weeks months years degrees".split()
-_NUMBER, _UNIT, _NAME = "", "", ""  # private-use code points
+_NUMBER, _UNIT, _NAME = "\ue000", "\ue001", "\ue002"  # private-use code points
 _MARKS = _NUMBER + _UNIT + _NAME
 _BREAK = rf"[^\p{{L}}\p{{N}}{_MARKS}]+"
 

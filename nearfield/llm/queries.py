@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .common import Scratch, read_table
 from .decontaminate import leaks
 from .fingerprint import fingerprints
@@ -48,6 +49,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scores = quality.score(docs, model)
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents, revises those with repeated lines (each line stays once), deletes toxic ones, sends batches again.
 
@@ -92,6 +100,7 @@ def queries() -> dict:
         "op2_filter_urls": op2_filter_urls,
         "op3_decontaminate": op3_decontaminate,
         "op5_fingerprints": op5_fingerprints,
+        "op6_quality": op6_quality,
         "op8_token_rollup": op8_token_rollup,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
