@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .fingerprint import fingerprints
 from .minhash import near_duplicates
 from .mixing import mix_copies, source_targets
+from .tokenfile import write_and_read
 from .token_rollup import WORDS, Rollup, count_tokens, distinct_lines, revised, signed
 from .url_filter import Rule, filter_urls
 from .warc import bundle_and_read
@@ -45,6 +46,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -99,6 +104,7 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_filter_urls": op2_filter_urls,
         "op3_decontaminate": op3_decontaminate,
+        "op4_token_files": op4_token_files,
         "op5_fingerprints": op5_fingerprints,
         "op6_quality": op6_quality,
         "op8_token_rollup": op8_token_rollup,
