@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .fingerprint import fingerprints
 from .minhash import near_duplicates
 from .mixing import mix_copies, source_targets
+from .substring import repeated_passages
 from .tokenfile import write_and_read
 from .token_rollup import WORDS, Rollup, count_tokens, distinct_lines, revised, signed
 from .url_filter import Rule, filter_urls
@@ -61,6 +62,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents, revises those with repeated lines (each line stays once), deletes toxic ones, sends batches again.
 
@@ -107,6 +112,7 @@ def queries() -> dict:
         "op4_token_files": op4_token_files,
         "op5_fingerprints": op5_fingerprints,
         "op6_quality": op6_quality,
+        "op7_passages": op7_passages,
         "op8_token_rollup": op8_token_rollup,
         "op9_warc": op9_warc,
         "op10_minhash": op10_minhash,
