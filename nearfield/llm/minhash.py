@@ -7,12 +7,15 @@ Within a bucket nodes are compared with one pivot, not with each other: pairs
 grow with the bucket, not with its square. Pairs whose signatures agree enough
 are confirmed on full sets, and components follow by alternating stars.
 
-A pivot can miss: two members may be alike while neither is like the pivot.
-So members left apart from their pivot choose a new pivot among themselves, a
-few rounds long; then every member that is still apart from the first pivot is
-compared with all members of another component in its bucket that the triangle
-inequality (the Jaccard distance is a metric) does not rule out by the
-signatures' distances to the pivot.
+The pivot is the member with the most company over all its bands: of a text
+and its altered copies the text itself, to which all copies are nearer than to
+each other. A pivot can still miss two members that are alike. So members left
+apart from their pivot are compared again: in buckets of up to `SMALL` members
+with all members of other components; in larger ones, where that would grow
+with the square, with `AGAIN` members drawn from those left apart and `AGAIN`
+from all, drawn anew for each band, so a document meets many partners over its
+bands. What remains is a link between two members of large buckets that is
+neither to the pivot, nor drawn, nor implied by other links.
 
 Rows per band are the most with which a pair at the threshold misses all bands
 with a probability of at most `MISS`; signatures drop a confirmed pair with
@@ -41,7 +44,8 @@ from .words import U64, Words, batches, mix, shingle_sets, text_bytes
 
 HASHES = 128
 MISS = 1e-6
-STAR_ROUNDS = 3
+SMALL = 32
+AGAIN = 2
 _CHUNK = 1 << 15
 
 
@@ -121,7 +125,8 @@ def agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text: str) -> DataFrame:
     """node, items: the full sets of the documents named, sorted 64-bit hashes as bytes."""
-    few = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ids, "node", "left_semi")
+    # candidates grow with the corpus, so this is a shuffle at every size but the smallest; the hint keeps one plan
+    few = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ids.hint("merge"), "node", "left_semi")
 
     def build(stream):
         for whole in stream:
@@ -186,26 +191,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, has
     own = sketch.select(F.col("k").cast("long").alias("node"), "k1", "k2", "bands", "signature").join(nodes, ["node", "k1", "k2"])
     signatures = scratch.table(own.select("node", "bands", "signature"), "own")
     buckets = signatures.select("node", F.explode("bands").alias("band"))
-    crowds = scratch.table(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).filter("far <> pivot").select("band", "pivot"), "crowds")
-    crowded = scratch.table(buckets.join(crowds, "band"), "crowded")
+    sizes = buckets.groupBy("band").agg(F.min("node").alias("near"), F.max("node").alias("far"), F.count(F.lit(1)).alias("members")).filter("far <> near").select("band", "members")
+    members = scratch.table(buckets.join(scratch.table(sizes, "sizes"), "band"), "members")
+    company = scratch.table(members.groupBy("node").agg(F.sum("members").alias("company")), "company")
+    # most company first, then the least id, as one long and the id
+    central = members.join(company, "node").groupBy("band").agg(F.min_by("node", F.struct(-F.col("company"), F.col("node"))).alias("pivot"))
+    crowded = scratch.table(members.join(scratch.table(central, "central"), "band"), "crowded")
     links_of = _Confirm(docs, scratch, signatures, shingle, percent, hashes, key, text)
 
-    labels, left, tested = _Labels(scratch), crowded, None
-    for _ in range(STAR_ROUNDS):
-        pairs = left.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        compared, links = links_of(pairs)
-        tested = tested or compared
-        if links is None:
-            break
+    labels = _Labels(scratch)
+    links = links_of(crowded.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    if links is not None:
         labels.add(links)
-        apart = labels.on(labels.on(left, "node", "mine"), "pivot", "its").filter("mine <> its").select("band", "node")
-        apart = scratch.table(apart, "apart")
-        again = scratch.table(apart.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).filter("far <> pivot").select("band", "pivot"), "again")
-        left = scratch.table(apart.join(again, "band"), "left")
-        if left.isEmpty():
-            break
-    if tested is not None and labels.table is not None:
-        labels.add(links_of(_across(crowded, tested, labels, threshold, hashes, scratch))[1] or labels.table)
+        more = links_of(_apart(crowded, labels, scratch))
+        if more is not None:
+            labels.add(more)
 
     named = nodes if labels.table is None else labels.on(nodes, "node", "least").select("k1", "k2", F.col("least").alias("node"))
     named = scratch.table(named, "named")
@@ -228,34 +228,42 @@ def _attach(docs: DataFrame, found: DataFrame, key: str, k: str) -> DataFrame:
 
 
 class _Confirm:
-    """Pairs to (pairs with the agreement of their signatures, confirmed links or None without pairs)."""
+    """Confirmed links of pairs, or None without pairs."""
 
     def __init__(self, docs, scratch, signatures, shingle, percent, hashes, key, text):
         self.docs, self.scratch, self.signatures = docs, scratch, signatures
         self.how, self.percent = {"shingle": shingle, "key": key, "text": text}, percent
         p = percent / 100
-        self.cut = p - 5 * math.sqrt(p * (1 - p) / hashes)
+        self.cut = p - 4 * math.sqrt(p * (1 - p) / hashes)
 
-    def __call__(self, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    def __call__(self, pairs: DataFrame) -> DataFrame | None:
         pairs = self.scratch.table(pairs, "pairs")
         if pairs.isEmpty():
-            return None, None
-        compared = self.scratch.table(agreement(pairs, self.signatures.select("node", "signature")), "compared")
-        alike = compared.filter(F.col("agree") >= self.cut)
-        ids = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            return None
+        alike = agreement(pairs, self.signatures.select("node", "signature")).filter(F.col("agree") >= self.cut)
+        alike = self.scratch.table(alike.select("a", "b"), "alike")
+        ids = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "node")
         sets = self.scratch.table(set_table(self.docs, ids, **self.how), "sets")
         links = self.scratch.table(confirmed(alike, sets, self.percent), "links")
         self.scratch.drop(sets)
-        return compared, links
-
-
-def _across(crowded: DataFrame, tested: DataFrame, labels: _Labels, threshold: float, hashes: int, scratch: Scratch) -> DataFrame:
-    """Pairs of a bucket in different components, one of them apart from the pivot, that may yet be alike."""
-    margin = (1 - threshold) + 4 * math.sqrt(0.5 / hashes)
-    near = tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "agree")
-    rows = crowded.join(near, ["pivot", "node"], "left").withColumn("agree", F.coalesce("agree", F.lit(1.0)))
-    rows = scratch.table(labels.on(labels.on(rows, "node", "mine"), "pivot", "its"), "labelled")
-    apart = rows.filter("mine <> its").select("band", F.col("node").alias("a"), F.col("mine").alias("mine_a"), F.col("agree").alias("agree_a"))
-    others = rows.filter("node <> pivot").select("band", F.col("node").alias("b"), F.col("mine").alias("mine_b"), F.col("agree").alias("agree_b"), (F.col("mine") != F.col("its")).alias("apart_b"))
-    near = apart.join(others, "band").filter((F.col("mine_a") != F.col("mine_b")) & (~F.col("apart_b") | (F.col("a") < F.col("b"))) & (F.abs(F.col("agree_a") - F.col("agree_b")) <= margin))
-    return near.select("a", "b").distinct()
+        return links
+
+
+def _apart(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
+    """Pairs of members in different components, of which one is apart from its bucket's pivot."""
+    rows = labels.on(labels.on(crowded, "node", "mine"), "pivot", "its")
+    rows = scratch.table(rows.select("band", "members", "node", "mine", (F.col("mine") != F.col("its")).alias("apart")), "labelled")
+    apart = rows.filter("apart").select("band", "members", F.col("node").alias("a"), F.col("mine").alias("mine_a"))
+    busy = apart.select("band").distinct()
+    others = rows.join(busy, "band", "left_semi").select("band", "members", F.col("node").alias("b"), F.col("mine").alias("mine_b"), "apart")
+    others = scratch.table(others, "others")
+    small = apart.filter(F.col("members") <= SMALL).drop("members").join(others.filter(F.col("members") <= SMALL).drop("members"), "band").filter("not apart or a < b")
+    found = small.filter("mine_a <> mine_b").select("a", "b")
+    large = others.filter(F.col("members") > SMALL)
+    for name, rows in (("apart", large.filter("apart")), ("all", large)):
+        # min_by a hash draws one member of each bucket
+        drawn = [F.min_by(F.struct("b", "mine_b"), F.xxhash64("b", "band", F.lit(f"{name}{i}"))).alias(f"d{i}") for i in range(AGAIN)]
+        few = scratch.table(rows.groupBy("band").agg(*drawn).select("band", F.explode(F.array(*[F.col(f"d{i}") for i in range(AGAIN)])).alias("d")).select("band", "d.b", "d.mine_b").distinct(), f"drawn-{name}")
+        met = apart.filter(F.col("members") > SMALL).drop("members").join(few, "band").filter("mine_a <> mine_b")
+        found = found.unionByName(met.select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
