@@ -33,7 +33,7 @@ _LOW32 = _U64(0xFFFFFFFF)
 _TOP = _U64(1 << 48)
 _BOTTOM = _U64(1 << 32)
 _TABLE2 = 1 << 18
-_REBUILD = 8
+_REBUILD = 16
 HEAD = "<IIII"
 HEAD_SIZE = 16
 
@@ -41,7 +41,8 @@ HEAD_SIZE = 16
 class _Model:
     """What encoder and decoder both know; every method depends on coded ids only."""
 
-    def __init__(self):
+    def __init__(self, decodes: bool = False):
+        self.decodes, self.recent = decodes, []
         self.after1 = np.zeros(ALPHABET, dtype=np.uint16)
         self.trust1 = np.zeros(ALPHABET, dtype=np.int8)
         self.after2 = np.zeros(_TABLE2, dtype=np.uint16)
@@ -54,10 +55,14 @@ class _Model:
 
     def _rebuild(self) -> None:
         """Order-0 frequencies that sum to 2^20 at most, at least 1 each."""
+        if self.recent:
+            self.seen += np.bincount(np.concatenate(self.recent), minlength=ALPHABET) * 32
+            self.recent = []
         total = int(self.seen.sum())
         self.freq = 1 + self.seen * ((1 << 20) - ALPHABET) // total
         self.cum = np.concatenate(([0], np.cumsum(self.freq)))
-        self.cum32 = self.cum.astype(np.int32)
+        if self.decodes:  # the id at each value
+            self.at = np.repeat(np.arange(ALPHABET, dtype=np.uint16), self.freq)
 
     def look(self, one: np.ndarray, two: np.ndarray) -> tuple:
         """Slots, predictions and event frequencies (cumulative) for each lane."""
@@ -80,7 +85,7 @@ class _Model:
         self.events += np.bincount(context * 3 + event, minlength=self.events.size).reshape(self.events.shape)
         if self.events.max() > 1 << 24:
             self.events = (self.events >> 1) + 1
-        self.seen += np.bincount(ids, minlength=ALPHABET) * 32
+        self.recent.append(ids)
         self.steps += 1
         if self.steps % _REBUILD == 0 or self.steps < _REBUILD:
             self._rebuild()
@@ -205,7 +210,7 @@ def decode_block(raw: bytes) -> np.ndarray:
     depth = _lanes(n)[1]
     counts = np.frombuffer(raw, dtype="<u4", count=lanes, offset=HEAD_SIZE).astype(np.int64)
     words = np.frombuffer(raw, dtype="<u2", offset=HEAD_SIZE + 4 * lanes, count=(size - 4 * lanes) // 2)
-    model, coder = _Model(), _Decoder(words, counts)
+    model, coder = _Model(decodes=True), _Decoder(words, counts)
     one, two, all_ = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64), slice(None)
     grid = np.zeros((depth, lanes), dtype=np.int64)
     for step in range(depth):
@@ -218,8 +223,7 @@ def decode_block(raw: bytes) -> np.ndarray:
         now = np.where(event == 0, p2, p1).astype(np.int64)
         missed = np.flatnonzero(event == 2)
         if missed.size:
-            found = np.searchsorted(model.cum32, coder.value(missed, 20).astype(np.int32), side="right") - 1
-            found = np.minimum(found, ALPHABET - 1)
+            found = model.at[np.minimum(coder.value(missed, 20), len(model.at) - 1)].astype(np.int64)
             coder.take(missed, model.cum[found], model.freq[found], 20)
             now[missed] = found
         grid[step] = now

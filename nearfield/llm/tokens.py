@@ -9,7 +9,9 @@ tokenizer's own normalizer, pre-tokenizer and model.
 
 from __future__ import annotations
 
+import itertools
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,19 @@ import pyarrow.compute as pc
 from .common import worker_cache
 
 #: Distinct pieces that are remembered; beyond it the memory is emptied, which costs time and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+
+
+def _visible() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for code points from 256 up."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, enlarged if it has fewer than n places."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), dtype=x.dtype)])
 
 
 class PieceEncoder:
@@ -28,6 +42,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.visible = _visible()
         self._empty()
 
     def _empty(self) -> None:
@@ -45,25 +60,29 @@ class PieceEncoder:
         return store["pieces", path]
 
     def _ids(self, piece: str) -> list[int]:
-        """The tokenizer's own steps, one by one; plain letters need only the last."""
+        """The tokenizer's own steps, one by one; plain words need only the last."""
         model = self.tokenizer.model
-        if piece.isascii() and piece.isalpha():
-            return [t.id for t in model.tokenize(piece.lower())]
+        if piece.isascii() and piece.isalpha():  # A-Z are lower-cased before
+            return [t.id for t in model.tokenize(piece)]
+        low = piece.lower()
+        # lower() looks at a sigma's neighbours, the tokenizer doesn't
+        if low.isalpha() and "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece) and unicodedata.is_normalized("NFC", low):
+            return [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(self.visible))]
         words = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece))
         return [t.id for word, _ in words for t in model.tokenize(word)]
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece in pieces:
-            row, ids = len(self.known), self._ids(piece)
-            if row >= len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[row], self.size[row] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[piece] = row
+        found = [self._ids(p) for p in pieces]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        row, used = len(self.known), self.used
+        self.flat = _room(self.flat, used + len(ids))
+        self.start, self.size = (_room(x, row + len(found)) for x in (self.start, self.size))
+        self.flat[used : used + len(ids)] = ids
+        self.start[row : row + len(found)] = used + np.cumsum(sizes) - sizes
+        self.size[row : row + len(found)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(row, row + len(found)), strict=True))
 
     def _rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each piece of each text its row in the memory; offsets by text."""
@@ -75,8 +94,12 @@ class PieceEncoder:
         pieces = pc.ascii_split_whitespace(column)
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self._learn([x for x in names if x not in self.known])
-        at = np.fromiter((self.known[x] for x in names), dtype=np.int64, count=len(names))
+        look = lambda: np.fromiter(map(self.known.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
+        at = look()
+        new = np.flatnonzero(at < 0)
+        if new.size:
+            self._learn([names[i] for i in new.tolist()])
+            at = look()
         offsets = np.asarray(pieces.offsets, dtype=np.int64)
         return at[np.asarray(coded.indices)] if len(names) else np.zeros(0, dtype=np.int64), offsets - offsets[0]
 
