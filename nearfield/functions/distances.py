@@ -51,8 +51,9 @@ def folded(d: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """1 - cosine similarity, clipped to [0, 2]; +infinity for a zero vector."""
     size = norm(a) * norm(b)
-    cut = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))
-    return F.when(size == 0, F.lit(INFINITY)).otherwise(1.0 - cut)
+    # least() would take any number before NaN, so both ends are cut with greatest(), which keeps NaN
+    cut = F.greatest(F.lit(0.0), 2.0 - F.greatest(F.lit(0.0), 1.0 - dot(a, b) / size))
+    return F.when(size == 0, F.lit(INFINITY)).otherwise(2.0 - cut)
 
 
 def chi_squared(a: Column, b: Column) -> Column:

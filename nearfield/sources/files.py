@@ -28,7 +28,7 @@ def read_pilot(spark: SparkSession, path: str, start: int = 0, stop: int | None
     """
     if start < 0 or (stop is not None and stop < start):
         raise ValueError(f"a slice needs 0 <= start <= stop, not {start} and {stop}")
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = whole.select(F.posexplode(lines).alias("position", "id")).select(F.col("position").cast("long").alias("position"), F.col("id").cast("long").alias("image_id"))
     out = out.filter(F.col("position") >= start)
@@ -45,7 +45,7 @@ def read_comparison(spark: SparkSession, path: str) -> DataFrame:
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     """image_id, path of a file with one JSON object."""
-    return C.id_map(spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "json"))
+    return C.id_map(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 
 def read_coordinates(spark: SparkSession, coords: str, ids: str, dims: int = 2) -> DataFrame:
