@@ -119,8 +119,17 @@ def median(v: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
+def with_each(v: Column, value: Column, how: Callable[[Column, Column], Column]) -> Column:
+    """how(element, value) for each element.
+
+    The value is an argument, evaluated once for a row; named in a lambda, an
+    expression could be inlined there and evaluated for every element.
+    """
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), how)
+
+
 def above(v: Column, threshold: Column) -> Column:
-    return F.transform(v, lambda x: (x > threshold).cast("int"))
+    return with_each(v, threshold, lambda x, t: (x > t).cast("int"))
 
 
 def packed(bits: Column) -> Column:
@@ -130,8 +139,12 @@ def packed(bits: Column) -> Column:
 
 def l1_normalised(v: Column) -> Column:
     """|x| / sum |x|; zeros stay zeros."""
-    size = total(F.transform(v, F.abs))
-    return F.transform(v, lambda x: F.when(size > 0, F.abs(x) / size).otherwise(0.0))
+    return with_each(v, total(F.transform(v, lambda x: F.abs(x))), lambda x, n: F.when(n > 0, F.abs(x) / n).otherwise(0.0))
+
+
+def unit(v: Column) -> Column:
+    """The vector at length 1; zeros stay zeros."""
+    return with_each(v, norm(v), lambda x, n: F.when(n > 0, x / n).otherwise(0.0))
 
 
 def check_query(values: Sequence[float], dim: int | None = None, *, nonzero: bool = True) -> list[float]:

@@ -152,9 +152,7 @@ class Cells(_Index):
 
     def build(self, shards: Sequence = ()):
         super().build(shards)
-        v = D.doubles(F.col("vector"))
-        size = D.norm(v)
-        unit = self.features.select("image_id", array_to_vector(F.transform(v, lambda x: x / size)).alias("unit"))
+        unit = self.features.select("image_id", array_to_vector(D.unit(D.doubles(F.col("vector")))).alias("unit"))
         model = KMeans(k=self.params["cells"], seed=self.params["seed"], featuresCol="unit", predictionCol="cell", maxIter=20).fit(unit)
         self.centers = [c.tolist() for c in model.clusterCenters()]
         self.table = model.transform(unit).select("image_id", "cell")
@@ -186,9 +184,7 @@ class BucketedLSH(_Index):
         return self
 
     def _unit(self, rows: DataFrame) -> DataFrame:
-        v = D.doubles(F.col("vector"))
-        size = D.norm(v)
-        return rows.select("image_id", array_to_vector(F.transform(v, lambda x: x / size)).alias("unit"))
+        return rows.select("image_id", array_to_vector(D.unit(D.doubles(F.col("vector")))).alias("unit"))
 
     def _hashes(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array

@@ -27,10 +27,7 @@ def project(features: DataFrame, dims: int = 2, *, sample: int | None = None, se
     if sample is not None and sample <= 0:
         raise ValueError("sample must be positive")
     rows = features if sample is None else features.orderBy(F.xxhash64("image_id", F.lit(seed)), "image_id").limit(sample)
-    v = D.doubles(F.col("vector"))
-    size = D.norm(v)
-    unit = F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0))
-    rows = rows.select("image_id", array_to_vector(unit).alias("unit"))
+    rows = rows.select("image_id", array_to_vector(D.unit(D.doubles(F.col("vector")))).alias("unit"))
     if len(rows.limit(dims + 1).collect()) <= dims:
         raise ValueError(f"{dims} dimensions need more than {dims} rows")
     model = PCA(k=dims, inputCol="unit", outputCol="at").fit(rows)

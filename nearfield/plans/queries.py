@@ -32,8 +32,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """image_id, e, h, b: the vector, its histogram and its bits."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), D.doubles(F.col("embedding")).alias("e"))
-    rows = rows.withColumns({"_sum": D.total(F.transform("e", F.abs)), "_mid": D.median(F.col("e"))})
-    return rows.select("image_id", "e", F.transform("e", lambda x: F.abs(x) / F.col("_sum")).alias("h"), F.transform("e", lambda x: F.when(x > F.col("_mid"), 1.0).otherwise(0.0)).alias("b"))
+    return rows.select("image_id", "e", D.l1_normalised(F.col("e")).alias("h"), D.above(F.col("e"), D.median(F.col("e"))).cast("array<double>").alias("b"))
 
 
 def store(spark: SparkSession, sf: str) -> query.Store:
@@ -322,10 +321,11 @@ def placed_vectors(spark, sf):
 
 def document_letters_topk(spark, sf):
     """Documents nearest to document 0 by the shares of their letters (chi-squared)."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), counts.alias("_c")).withColumn("_n", D.total(F.col("_c")))
-    rows = rows.select("image_id", F.transform("_c", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("vector"))
+    # the letters alone, then how much shorter the text is without each
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", "").alias("_t"))
+    counts = F.array(*[(F.length("_t") - F.length(F.translate("_t", c, ""))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    rows = rows.select("image_id", counts.alias("_c"))
+    rows = rows.select("image_id", D.l1_normalised(F.col("_c")).alias("vector"))
     q = rows.filter(F.col("image_id") == QUERY).first()["vector"]
     return six(search.search(rows, q, K, "chi2", "clamp"), "distance")
 
