@@ -8,12 +8,15 @@ exponential tilt, r = min(most, exp(sum of the multipliers of the document's
 values)). The multipliers maximise the dual, which is concave; damped Newton
 steps need only word totals by cell (a combination of margin values), which
 Spark aggregates. Rates are then rounded to whole copies: floor(r + u + shift)
-with a hash u of the document, and for each cell the shift that brings its
-words closest to what the rates ask for, found from histograms.
+with a hash u of the document. A cell's documents are taken by size, a class
+for each power of two, from the largest down; each class has the shift that
+brings its words closest to what the rates ask for and the larger classes left
+over, found from a histogram of `BINS` bins. So the error ends up as small as
+the smallest documents.
 
-The tables that reach the driver have one row for each cell (for the
-histograms `BINS`), never one for each document; more than `MAX_CELLS` cells
-raise an error.
+The only table that reaches the driver has one row for each cell, never one
+for each document; more than `MAX_CELLS` cells raise an error. Histograms are
+solved a cell at a time where they lie.
 
 Nulls and others: a null or empty text has size 0 and takes 0 words; a null
 source is a source of its own, after all others; a repeated row is one more
@@ -26,12 +29,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
 
-BINS = 1024
+BINS = 512
 MAX_CELLS = 200_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -121,12 +125,8 @@ def newton_rates(cells: list[tuple[tuple, int]], targets: list[dict], most: floa
     return {values: float(r) for (values, _), r in zip(cells, rate, strict=True)}
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def _same(left: DataFrame, right: DataFrame, keys: list[str], names: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join that also joins nulls; the planner picks a broadcast by the size of the right side."""
+    """An equi-join that also joins nulls; the planner broadcasts the right side if it is small enough."""
     on = None
     for a, b in zip(keys, names, strict=True):
         on = left[a].eqNullSafe(right[b]) if on is None else on & left[a].eqNullSafe(right[b])
@@ -144,7 +144,7 @@ def mix_copies(docs: DataFrame, targets: list[dict] | None = None, *, margins: t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    size, u, rate, copies, target, words, shift = fresh(docs, "size", "_u", "rate", "copies", "target", "cell_words", "_shift")
+    size, u, rate, copies, target, words, shift, order = fresh(docs, "size", "_u", "rate", "copies", "target", "cell_words", "_shift", "_class")
     cell = fresh(docs, *[f"_cell{i}" for i in range(len(margins))])
     # a draw of 32 bits; equal ids are told apart by nothing, so repeated rows are decided alike
     draw = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(4294967296.0)
@@ -161,47 +161,48 @@ def mix_copies(docs: DataFrame, targets: list[dict] | None = None, *, margins: t
             sums[i][v] = sums[i].get(v, 0) + n
     targets = targets_of(sums) if targets_of else targets
     rates = newton_rates(cells, targets, float(most))
-    shifts = _shifts(spark, light, cell, cells, rates, most)
-    rows = [(*values, n, rates[values], float(targets[0][values[0]]), shifts[values]) for values, n in cells]
+    rows = [(*values, n, rates[values], float(targets[0][values[0]])) for values, n in cells]
     names = [f"c{i}" for i in range(len(margins))]
-    decided = _table(spark, rows, ", ".join([*(f"{c} string" for c in names), f"{words} long, {rate} double, {target} double, {shift} double"]))
-    keyed = sized.withColumns({c: F.col(m).cast("string") for m, c in zip(margins, cell, strict=True)})
+    schema = ", ".join([*(f"{c} string" for c in names), f"{words} long, {rate} double, {target} double"])
+    decided = spark.createDataFrame(rows, schema)
+    shifts = scratch.table(_shifts(light, cell, decided.withColumnRenamed(rate, "rate").select(*names, "rate"), names, most), "shifts").withColumnRenamed("shift", shift)
+    keyed = sized.withColumns({c: F.col(m).cast("string") for m, c in zip(margins, cell, strict=True)} | {order: _class(F.col(size))})
     out = _same(keyed, decided, cell, names, "left")
-    whole = F.floor(F.col(rate) + F.col(u) + F.col(shift))
-    return out.withColumn(copies, F.greatest(F.lit(0), F.least(F.lit(most), whole)).cast("int")).drop(*cell, u, shift)
+    out = _same(out, shifts, [*cell, order], [*names, "cls"], "left")
+    whole = F.floor(F.col(rate) + F.col(u) + F.coalesce(F.col(shift), F.lit(0.0)))
+    return out.withColumn(copies, F.greatest(F.lit(0), F.least(F.lit(most), whole)).cast("int")).drop(*cell, order, u, shift)
+
+
+def _class(size: Column) -> Column:
+    """The power of two below a size; null for 0."""
+    return F.floor(F.log2(F.when(size > 0, size).cast("double"))).cast("int")
 
 
-def _shifts(spark: SparkSession, light: DataFrame, cell: list[str], cells: list, rates: dict, most: int) -> dict:
-    """For each cell the shift whose copies come nearest to rate times words.
+def _shifts(light: DataFrame, cell: list[str], rates: DataFrame, names: list[str], most: int) -> DataFrame:
+    """names, cls, shift: for each cell and size class the shift of its rounding.
 
-    Copies step up by one where shift passes j - rate - u, for j from 1 to
-    `most`. Words by bin of those points, first over [-1, 1], then over the
-    bin that holds the goal, give the shift to a millionth.
+    Copies step up by one where the shift passes j - rate - u, for j from 1 to
+    `most`; a step is worth the document's words.
     """
-    names = [f"c{i}" for i in range(len(cell))]
-    low, width = {v: -1.0 for v, _ in cells}, 2.0
-    base: dict = {}
-    for level in range(2):
-        rows = [(*v, rates[v], low[v]) for v, _ in cells]
-        table = _table(spark, rows, ", ".join([*(f"{c} string" for c in names), "rate double, low double"]))
-        joined = _same(light.filter("n > 0"), table, cell, names)
-        steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: j - F.col("rate") - F.col("u")))
-        bins = joined.select(*cell, "n", "low", steps.alias("at")).withColumn("bin", F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("at") - F.col("low")) * (BINS / width)))).cast("int"))
-        found = bins.groupBy(*cell, "bin").agg(F.sum("n").alias("n"))
-        mass: dict = {v: {} for v, _ in cells}
-        for r in found.toLocalIterator():
-            mass[tuple(r[:-2])][r["bin"]] = int(r["n"])
-        for v, n in cells:
-            goal, got, best = rates[v] * n, 0, None
-            # a shift at the end of bin b takes all of its points
-            for b in range(-1, BINS):
-                got += mass[v].get(b, 0)
-                if best is None or abs(got - goal) < best[0]:
-                    best = (abs(got - goal), b, got)
-                if got >= goal:
-                    break
-            base[v] = low[v] + (best[1] + 1) * (width / BINS)
-            if level == 0:  # look again inside the bin where the goal is passed
-                low[v] = low[v] + max(b, 0) * (width / BINS)
-        width /= BINS
-    return base
+    joined = _same(light.filter("n > 0"), rates, cell, names)
+    steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: j - F.col("rate") - F.col("u")))
+    at = F.floor((F.col("at") + 1.0) * (BINS / 2.0))
+    bins = joined.select(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)], "rate", _class(F.col("n")).alias("cls"), "n", steps.alias("at"))
+    bins = bins.groupBy(*names, "rate", "cls", F.greatest(F.lit(-1), F.least(F.lit(BINS), at)).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        """One cell: at most a few dozen classes of BINS bins."""
+        found, left = [], 0.0
+        for cls in sorted(frame["cls"].unique(), reverse=True):
+            part = frame[frame["cls"] == cls]
+            mass = np.zeros(BINS + 1)  # bins from -1 to BINS - 1
+            inside = part["bin"] < BINS
+            mass[part["bin"][inside] + 1] = part["n"][inside]
+            goal = float(part["rate"].iloc[0]) * float(part["n"].sum()) / most + left
+            got = np.cumsum(mass)
+            best = int(np.abs(got - goal).argmin())
+            left = goal - float(got[best])
+            found.append((*(frame[n].iloc[0] for n in names), int(cls), -1.0 + best * (2.0 / BINS)))
+        return pd.DataFrame(found, columns=[*names, "cls", "shift"])
+
+    return bins.groupBy(*names).applyInPandas(solve, ", ".join([*(f"{n} string" for n in names), "cls int, shift double"]))
