@@ -25,8 +25,8 @@ import zlib
 import numpy as np
 
 #: ids of a block, at most; a block of fewer than 64 ids a lane has fewer lanes
-BLOCK = 1 << 21
-LANES = 8192
+BLOCK = 1 << 22
+LANES = 16384
 ALPHABET = 1 << 16
 _U64 = np.uint64
 _LOW32 = _U64(0xFFFFFFFF)

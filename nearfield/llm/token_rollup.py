@@ -43,7 +43,7 @@ def count_tokens(docs: DataFrame, version: str, path: str | None = None, *, text
     def count(stream):
         encoder = PieceEncoder.of(path)
         for whole in stream:
-            for batch in batches(whole, "text", 4 << 20):
+            for batch in batches(whole, "text", 8 << 20):
                 tokens = encoder.counts(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array([version] * len(batch)), pa.array(tokens)], ["doc_id", "source", "lang", "version", "tokens"])
 

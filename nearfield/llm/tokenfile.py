@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, scratch: Scratch, *, k
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         writer, docs, total = FileWriter(place.open_output_stream(f"{base}/{name}", compression=None)), 0, 0
         for whole in stream:
-            for batch in batches(whole, "t", 4 << 20):
+            for batch in batches(whole, "t", 8 << 20):
                 ids, offsets = encoder.encode(batch.column("t"))
                 sizes = np.diff(offsets) + 1
                 ended = np.full(int(sizes.sum()), end, dtype=np.uint32)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import worker_cache
 
 #: Distinct pieces that are remembered; beyond it the memory is emptied, which costs time and changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def _visible() -> dict[int, str]:
@@ -46,7 +46,7 @@ class PieceEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())  # a piece's place is its row
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, dtype=np.int64)
@@ -71,8 +71,8 @@ class PieceEncoder:
         words = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece))
         return [t.id for word, _ in words for t in model.tokenize(word)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = [self._ids(p) for p in pieces]
+    def _learn(self, pieces: pa.Array) -> None:
+        found = [self._ids(p) for p in pieces.to_pylist()]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
         row, used = len(self.known), self.used
@@ -82,26 +82,25 @@ class PieceEncoder:
         self.start[row : row + len(found)] = used + np.cumsum(sizes) - sizes
         self.size[row : row + len(found)] = sizes
         self.used += len(ids)
-        self.known.update(zip(pieces, range(row, row + len(found)), strict=True))
+        self.known = pa.concat_arrays([self.known, pieces])
 
     def _rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each piece of each text its row in the memory; offsets by text."""
         if len(self.known) > REMEMBERED:
             self._empty()
-        column = pc.ascii_lower(pc.fill_null(column, ""))
+        column = pc.ascii_lower(pc.fill_null(column, "").cast(pa.string()))
         # a full stop or comma after a word is a piece of its own anyway; set apart, words repeat more often
         column = pc.replace_substring_regex(column, pattern=r"([a-z])([.,])(\s|$)", replacement=r"\1 \2\3")
         pieces = pc.ascii_split_whitespace(column)
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        look = lambda: np.fromiter(map(self.known.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
-        at = look()
-        new = np.flatnonzero(at < 0)
+        places = pc.index_in(coded.dictionary, value_set=self.known)
+        new = np.flatnonzero(places.is_null().to_numpy(zero_copy_only=False))
+        at = places.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if new.size:
-            self._learn([names[i] for i in new.tolist()])
-            at = look()
+            at[new] = len(self.known) + np.arange(new.size)
+            self._learn(coded.dictionary.take(pa.array(new)))
         offsets = np.asarray(pieces.offsets, dtype=np.int64)
-        return at[np.asarray(coded.indices)] if len(names) else np.zeros(0, dtype=np.int64), offsets - offsets[0]
+        return at[np.asarray(coded.indices)] if len(at) else np.zeros(0, dtype=np.int64), offsets - offsets[0]
 
     def counts(self, column: pa.Array) -> np.ndarray:
         rows, offsets = self._rows(column)
