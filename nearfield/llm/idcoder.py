@@ -10,7 +10,8 @@ order 1 by the last id seen after this id, order 0 by counts of all ids. The
 mix gives each its share of the range: an event - order 2 is right, order 1
 is right, neither is - is coded with counts kept by context, where the context
 is how often either order's slot was right before and whether they agree;
-after "neither" the id is coded with the order-0 counts.
+the share of "neither" is divided among all ids by the order-0 counts, so that
+an id is one interval and one step of the coder.
 
 A block, little-endian: lanes u32, ids u32, payload bytes u32, crc32 of the
 ids as u32 u32; then the payload: how many 16-bit words each lane has (u32
@@ -29,9 +30,10 @@ BLOCK = 1 << 22
 LANES = 16384
 ALPHABET = 1 << 16
 _U64 = np.uint64
-_LOW32 = _U64(0xFFFFFFFF)
 _TOP = _U64(1 << 48)
-_BOTTOM = _U64(1 << 32)
+_BOTTOM = _U64(1 << 44)
+#: an id's interval has 2^30 units: 2^10 for the event, 2^20 for order 0
+_EVENT, _ORDER0 = 10, 20
 _TABLE2 = 1 << 18
 _REBUILD = 16
 HEAD = "<IIII"
@@ -70,10 +72,10 @@ class _Model:
         p2, p1 = self.after2[slot], self.after1[one]
         context = ((p2 == p1) * 4 + self.trust2[slot]) * 4 + self.trust1[one]
         total = self.events.sum(axis=1)
-        # of 2^16, at least 1 each
-        freq = 1 + self.events * ((1 << 16) - 3) // total[:, None]
+        # at least 1 each
+        freq = 1 + self.events * ((1 << _EVENT) - 3) // total[:, None]
         ends = np.cumsum(freq, axis=1)
-        ends[:, 2] = 1 << 16
+        ends[:, 2] = 1 << _EVENT
         return slot, p2, p1, context, np.concatenate([np.zeros((len(ends), 1), dtype=np.int64), ends], axis=1)
 
     def learn(self, one: np.ndarray, look: tuple, ids: np.ndarray, event: np.ndarray) -> None:
@@ -91,6 +93,22 @@ class _Model:
             self._rebuild()
 
 
+def _moves(low: np.ndarray, span: np.ndarray):
+    """Lanes that give or take a word, with their low and range after it, until no lane has to."""
+    who = None
+    while True:
+        same = (low ^ (low + span)) < _TOP
+        move = np.flatnonzero(same | (span < _BOTTOM))
+        if not move.size:
+            return
+        same, low, span = same[move], low[move], span[move]
+        who = move if who is None else who[move]
+        # no carry may follow: a short range that isn't settled is cut at the next multiple of 2^44
+        span = np.where(same, span, (~low + _U64(1)) & (_BOTTOM - _U64(1))) << _U64(16)
+        low = low << _U64(16)
+        yield who, low, span
+
+
 class _Encoder:
     def __init__(self, lanes: int, room: int):
         self.low = np.zeros(lanes, dtype=_U64)
@@ -103,31 +121,20 @@ class _Encoder:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
         self.out[who, self.at[who]] = self.low[who] >> _U64(48)
         self.at[who] += 1
-        self.low[who] <<= _U64(16)
-
-    def code(self, who: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """The interval [begin, begin + size) of 2^bits, for the lanes named."""
-        part = self.range[who] >> _U64(bits)
-        low = self.low[who] + part * begin.view(_U64)
-        span = part * size.view(_U64)
-        self.low[who], self.range[who] = low, span
-        while True:
-            same = (low ^ (low + span)) < _TOP
-            short = ~same & (span < _BOTTOM)
-            move = same | short
-            if not move.any():
-                return
-            who = np.flatnonzero(move) if isinstance(who, slice) else who[move]
-            low, span, short = low[move], span[move], short[move]
-            # no carry may follow: a short range is cut at the next multiple of 2^32
-            span = np.where(short, (~low + _U64(1)) & (_BOTTOM - _U64(1)), span) << _U64(16)
+
+    def code(self, begin: np.ndarray, size: np.ndarray) -> None:
+        """The interval [begin, begin + size) of 2^30, in every lane."""
+        part = self.range >> _U64(_EVENT + _ORDER0)
+        self.low += part * begin.view(_U64)
+        self.range = part * size.view(_U64)
+        for who, low, span in _moves(self.low, self.range):
             self._put(who)
-            low = self.low[who]
-            self.range[who] = span
+            self.low[who], self.range[who] = low, span
 
     def close(self) -> None:
         for _ in range(4):
             self._put(np.arange(len(self.low)))
+            self.low <<= _U64(16)
 
 
 class _Decoder:
@@ -146,26 +153,17 @@ class _Decoder:
         self.code[who] = (self.code[who] << _U64(16)) | self.words[at].astype(_U64)
         self.next[who] += 1
 
-    def value(self, who: np.ndarray, bits: int) -> np.ndarray:
-        part = self.range[who] >> _U64(bits)
-        return np.minimum((self.code[who] - self.low[who]) // part, _U64((1 << bits) - 1)).view(np.int64)
-
-    def take(self, who: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
-        part = self.range[who] >> _U64(bits)
-        low = self.low[who] + part * begin.view(_U64)
-        span = part * size.view(_U64)
-        self.low[who], self.range[who] = low, span
-        while True:
-            same = (low ^ (low + span)) < _TOP
-            short = ~same & (span < _BOTTOM)
-            move = same | short
-            if not move.any():
-                return
-            who = np.flatnonzero(move) if isinstance(who, slice) else who[move]
-            low, span, short = low[move], span[move], short[move]
-            span = np.where(short, (~low + _U64(1)) & (_BOTTOM - _U64(1)), span) << _U64(16)
+    def value(self) -> np.ndarray:
+        """Where in 2^30 each lane's code lies."""
+        part = self.range >> _U64(_EVENT + _ORDER0)
+        return np.minimum((self.code - self.low) // part, _U64((1 << _EVENT + _ORDER0) - 1)).view(np.int64)
+
+    def take(self, begin: np.ndarray, size: np.ndarray) -> None:
+        part = self.range >> _U64(_EVENT + _ORDER0)
+        self.low += part * begin.view(_U64)
+        self.range = part * size.view(_U64)
+        for who, low, span in _moves(self.low, self.range):
             self._pull(who)
-            low = low << _U64(16)
             self.low[who], self.range[who] = low, span
 
 
@@ -184,18 +182,19 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid[:n] = ids
     grid = grid.reshape(lanes, depth).T.copy()
     model, coder = _Model(), _Encoder(lanes, depth + 16)
-    all_ = np.arange(lanes)
     one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     for now in grid:
         look = model.look(one, two)
         _, p2, p1, context, ends = look
         event = np.where(p2 == now, 0, np.where(p1 == now, 1, 2))
         begin = ends[context, event]
-        coder.code(all_, begin, ends[context, event + 1] - begin, 16)
+        share = ends[context, event + 1] - begin
+        begin, size = begin << _ORDER0, share << _ORDER0
         missed = np.flatnonzero(event == 2)
-        if missed.size:
-            x = now[missed]
-            coder.code(missed, model.cum[x], model.freq[x], 20)
+        x, share = now[missed], share[missed]
+        begin[missed] += share * model.cum[x]
+        size[missed] = share * model.freq[x]
+        coder.code(begin, size)
         model.learn(one, look, now, event)
         one, two = now, one
     coder.close()
@@ -211,21 +210,25 @@ def decode_block(raw: bytes) -> np.ndarray:
     counts = np.frombuffer(raw, dtype="<u4", count=lanes, offset=HEAD_SIZE).astype(np.int64)
     words = np.frombuffer(raw, dtype="<u2", offset=HEAD_SIZE + 4 * lanes, count=(size - 4 * lanes) // 2)
     model, coder = _Model(decodes=True), _Decoder(words, counts)
-    one, two, all_ = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64), slice(None)
+    one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     grid = np.zeros((depth, lanes), dtype=np.int64)
     for step in range(depth):
         look = model.look(one, two)
         _, p2, p1, context, ends = look
-        value = coder.value(all_, 16)
-        event = (value >= ends[context, 1]).astype(np.int64) + (value >= ends[context, 2])
+        value = coder.value()
+        top = value >> _ORDER0
+        event = (top >= ends[context, 1]).astype(np.int64) + (top >= ends[context, 2])
         begin = ends[context, event]
-        coder.take(all_, begin, ends[context, event + 1] - begin, 16)
+        share = ends[context, event + 1] - begin
+        begin, size = begin << _ORDER0, share << _ORDER0
         now = np.where(event == 0, p2, p1).astype(np.int64)
         missed = np.flatnonzero(event == 2)
-        if missed.size:
-            found = model.at[np.minimum(coder.value(missed, 20), len(model.at) - 1)].astype(np.int64)
-            coder.take(missed, model.cum[found], model.freq[found], 20)
-            now[missed] = found
+        share = share[missed]
+        x = model.at[np.minimum((value[missed] - begin[missed]) // share, len(model.at) - 1)].astype(np.int64)
+        now[missed] = x
+        begin[missed] += share * model.cum[x]
+        size[missed] = share * model.freq[x]
+        coder.take(begin, size)
         grid[step] = now
         model.learn(one, look, now, event)
         one, two = now, one
