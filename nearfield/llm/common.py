@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import sys
 import tempfile
@@ -41,6 +43,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made = 0
+        atexit.register(self._remove)  # the tables serve results of this process only
+
+    def _remove(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, tag: str) -> str:
         self._made += 1
