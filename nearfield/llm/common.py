@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import sys
 import tempfile
@@ -61,6 +62,15 @@ class Scratch:
         out._scratch_path = path  # for drop()
         return out
 
+    def sweep(self) -> None:
+        """Has the driver collect its garbage: Spark removes shuffle files once nothing refers to them.
+
+        A written table refers to none of the shuffles before it, but Spark
+        learns that only when the driver's objects are gone.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for table in tables:

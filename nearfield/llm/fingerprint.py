@@ -89,7 +89,7 @@ def _least(term: Column, weight: Column, log_weight: Column, eb: Column, e2: Col
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys and `samples` (array of longs below 2^32) for each distinct combination of keys."""
+    """keys and `samples` (array of ints) for each distinct combination of keys."""
     groups = range(-(-samples // SHARED))
     rows = weighted_terms(texts, keys, text).withColumn("_w", F.col("_weight").cast("double"))
     draw = lambda n: F.when(F.col("_w") > 1.0, _exponential(_low(F.xxhash64(F.col("_term").bitwiseXOR(F.lit(_seed(n))))), 32))
@@ -97,12 +97,12 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
     rows = rows.select(*keys, "_term", "_w", F.when(F.col("_w") > 1.0, F.log("_w")).alias("_lw"), _low(F.xxhash64("_term")).alias("_n"), *shared)
     pair = lambda k: (F.col(f"_e{2 * (k // SHARED)}"), F.col(f"_e{2 * (k // SHARED) + 1}"))
     least = rows.groupBy(*keys).agg(*[F.min(_least(F.col("_term"), F.col("_w"), F.col("_lw"), *pair(k), F.col("_n"), k)).alias(f"_m{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[_low(F.xxhash64(f"_m{k}")) for k in range(samples)]).alias("samples"))
+    return least.select(*keys, F.array(*[(_low(F.xxhash64(f"_m{k}")) - F.lit(1 << 31)).cast("int") for k in range(samples)]).alias("samples"))
 
 
 def as_text(samples: Column) -> Column:
     """Eight hex digits for each sample."""
-    return F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
+    return F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -159,6 +159,7 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     flat = both.select("rid", "next_rid", "doc_id", "n_chars", "sha", F.col("v.which").alias("which"), F.col("v.body").alias("body"))
     keys = ["rid", "next_rid", "doc_id", "n_chars", "sha", "which"]
     prints = scratch.table(signatures(flat, keys, "body", samples), "samples")
+    scratch.sweep()
     own = prints.filter("which = 0").select("rid", "next_rid", "doc_id", "n_chars", "sha", F.col("samples").alias("a"))
     other = prints.filter("which = 1").select("rid", F.col("samples").alias("b"))
     following = prints.filter("which = 0").select(F.col("rid").alias("next_rid"), F.col("samples").alias("c"))

@@ -246,6 +246,7 @@ class _Confirm:
         sets = self.scratch.table(set_table(self.docs, ids, **self.how), "sets")
         links = self.scratch.table(confirmed(alike, sets, self.percent), "links")
         self.scratch.drop(sets)
+        self.scratch.sweep()
         return links
 
 
