@@ -179,10 +179,18 @@ class BucketedLSH(_Index):
 
     def build(self, shards: Sequence = ()):
         super().build(shards)
-        self.model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=self.params["bucket"], numHashTables=self.params["tables"], seed=self.params["seed"]).fit(self._unit(self.features))
+        self._fit()
         self.table = self._hashes(self.features)
         return self
 
+    def _fit(self) -> None:
+        """The hyperplanes follow from the dimension and the seed alone."""
+        self.model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=self.params["bucket"], numHashTables=self.params["tables"], seed=self.params["seed"]).fit(self._unit(self.features.limit(1)))
+
+    def load(self, path: str) -> None:
+        super().load(path)
+        self._fit()
+
     def _unit(self, rows: DataFrame) -> DataFrame:
         return rows.select("image_id", array_to_vector(D.unit(D.doubles(F.col("vector")))).alias("unit"))
 
