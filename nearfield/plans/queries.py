@@ -243,10 +243,9 @@ def resolve_paths(spark, sf):
 
 
 def pilot_join(spark, sf):
-    """Labelled documents in the order of their labels' hash-free order: by id, descending."""
-    w = Window.orderBy(F.desc("doc_id"))
-    pilot = table(spark, sf, "labels").filter("toxic = 1").select((F.row_number().over(w) - 1).cast("long").alias("position"), F.col("doc_id").alias("image_id"))
-    return C.pilot_rows(pilot, _documents(spark, sf))
+    """Toxic documents as an ordered list, the last id first."""
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("image_id"), (-F.col("doc_id")).alias("_order"))
+    return C.pilot_rows(C.numbered(toxic, "_order").drop("_order"), _documents(spark, sf))
 
 
 def extension_filter(spark, sf):
