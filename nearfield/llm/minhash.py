@@ -10,12 +10,12 @@ are confirmed on full sets, and components follow by alternating stars.
 The pivot is the member with the most company over all its bands: of a text
 and its altered copies the text itself, to which all copies are nearer than to
 each other. A pivot can still miss two members that are alike. So members left
-apart from their pivot are compared again: in buckets of up to `SMALL` members
-with all members of other components; in larger ones, where that would grow
-with the square, with `AGAIN` members drawn from those left apart and `AGAIN`
-from all, drawn anew for each band, so a document meets many partners over its
-bands. What remains is a link between two members of large buckets that is
-neither to the pivot, nor drawn, nor implied by other links.
+apart from their pivot are compared with all members of other components: in
+buckets of up to `SMALL` members as a join of pairs; in larger ones in blocks of
+about `BLOCK` members dealt by a hash, so that a signature moves once for each
+block it meets, not once for each member. There every member apart is first
+linked by the signature most like its own, and what still lies in different
+components is then compared in full. No pair of a bucket is left out.
 
 Rows per band are the most with which a pair at the threshold misses all bands
 with a probability of at most `MISS`; signatures drop a confirmed pair with
@@ -45,7 +45,8 @@ from .words import U64, Words, batches, mix, shingle_sets, text_bytes
 HASHES = 128
 MISS = 1e-6
 SMALL = 32
-AGAIN = 2
+BLOCK = 512
+SET_BLOCK = 128
 _CHUNK = 1 << 15
 
 
@@ -80,6 +81,15 @@ def minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
+def band_keys(signs: np.ndarray, rows: int) -> np.ndarray:
+    """uint64, signatures x bands."""
+    count = signs.shape[1] // rows
+    bands = np.zeros((len(signs), count), dtype=U64)
+    for j in range(rows):
+        bands = bands * U64(0xFF51AFD7ED558CCD) + signs[:, j : rows * count : rows].astype(U64)
+    return mix(bands + (np.arange(1, count + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)))
+
+
 def sketches(docs: DataFrame, *, shingle: int, rows: int, hashes: int, key: str, text: str) -> DataFrame:
     """key, n, k1, k2 (a digest of the set), bands, signature for every row; no bands for empty sets."""
     few = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -93,10 +103,7 @@ def sketches(docs: DataFrame, *, shingle: int, rows: int, hashes: int, key: str,
                 full = np.flatnonzero(sizes)
                 signs = minima([sets[i] for i in full], hashes)
                 count = hashes // rows
-                bands = np.zeros((len(full), count), dtype=U64)
-                for j in range(rows):
-                    bands = bands * U64(0xFF51AFD7ED558CCD) + signs[:, j : rows * count : rows].astype(U64)
-                bands = mix(bands + (np.arange(1, count + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)))
+                bands = band_keys(signs, rows)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, count, 0)))).astype(np.int32)
@@ -157,6 +164,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v as `confirmed` has them, for pairs (band, members, a, b) with many for a node: a set moves once for each block it meets."""
+    blocks = F.ceil(F.col("members") / SET_BLOCK)
+    block = lambda node: F.pmod(F.xxhash64(node), blocks)
+    dealt = pairs.select(F.struct("band", block("a").alias("i"), block("b").alias("j")).alias("at"), "a", "b").select(F.col("at.band").alias("band"), F.col("at.i").alias("i"), F.col("at.j").alias("j"), "a", "b")
+    nodes = dealt.select(F.col("band").alias("at"), F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = nodes.join(sets, "node").select("at", "k", "l", "node", "items")
+
+    def compare(some: pa.Table, held: pa.Table) -> pa.Table:
+        items = {n: np.frombuffer(x.as_buffer(), dtype=U64) for n, x in zip(held.column("node").to_pylist(), held.column("items"), strict=True)}
+        keep = []
+        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+            p, q = items[a], items[b]
+            small, large = sorted((len(p), len(q)))
+            shared = len(np.intersect1d(p, q, assume_unique=True)) if 100 * small >= percent * large else 0
+            keep.append(100 * shared >= percent * (small + large - shared))
+        return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
+
+    return dealt.groupBy("band", "i", "j").cogroup(whole.groupBy("at", "k", "l")).applyInArrow(compare, "u long, v long")
+
+
 class _Labels:
     """The least node of each node's component so far."""
 
@@ -206,6 +234,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, has
         more = links_of(_apart(crowded, labels, scratch))
         if more is not None:
             labels.add(more)
+        large = crowded.filter(F.col("members") > SMALL)
+        nearest = links_of(_alike_in_blocks(large, labels, signatures, rows, links_of.cut, scratch, nearest=True).select("a", "b").distinct())
+        if nearest is not None:
+            labels.add(nearest)
+        rest = links_of.in_blocks(_alike_in_blocks(large, labels, signatures, rows, links_of.cut, scratch, nearest=False))
+        if rest is not None:
+            labels.add(rest)
 
     named = nodes if labels.table is None else labels.on(nodes, "node", "least").select("k1", "k2", F.col("least").alias("node"))
     named = scratch.table(named, "named")
@@ -241,30 +276,79 @@ class _Confirm:
         if pairs.isEmpty():
             return None
         alike = agreement(pairs, self.signatures.select("node", "signature")).filter(F.col("agree") >= self.cut)
-        alike = self.scratch.table(alike.select("a", "b"), "alike")
+        return self._checked(self.scratch.table(alike.select("a", "b"), "alike"), confirmed)
+
+    def in_blocks(self, alike: DataFrame) -> DataFrame | None:
+        """The same for pairs (band, members, a, b) whose signatures agree, of which a node may have many."""
+        alike = self.scratch.table(alike, "alike")
+        return None if alike.isEmpty() else self._checked(alike, confirmed_in_blocks)
+
+    def _checked(self, alike: DataFrame, check) -> DataFrame:
         ids = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "node")
         sets = self.scratch.table(set_table(self.docs, ids, **self.how), "sets")
-        links = self.scratch.table(confirmed(alike, sets, self.percent), "links")
+        links = self.scratch.table(check(alike, sets, self.percent), "links")
         self.scratch.drop(sets)
         self.scratch.sweep()
         return links
 
 
-def _apart(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
-    """Pairs of members in different components, of which one is apart from its bucket's pivot."""
+def _labelled(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
     rows = labels.on(labels.on(crowded, "node", "mine"), "pivot", "its")
-    rows = scratch.table(rows.select("band", "members", "node", "mine", (F.col("mine") != F.col("its")).alias("apart")), "labelled")
-    apart = rows.filter("apart").select("band", "members", F.col("node").alias("a"), F.col("mine").alias("mine_a"))
-    busy = apart.select("band").distinct()
-    others = rows.join(busy, "band", "left_semi").select("band", "members", F.col("node").alias("b"), F.col("mine").alias("mine_b"), "apart")
-    others = scratch.table(others, "others")
-    small = apart.filter(F.col("members") <= SMALL).drop("members").join(others.filter(F.col("members") <= SMALL).drop("members"), "band").filter("not apart or a < b")
-    found = small.filter("mine_a <> mine_b").select("a", "b")
-    large = others.filter(F.col("members") > SMALL)
-    for name, rows in (("apart", large.filter("apart")), ("all", large)):
-        # min_by a hash draws one member of each bucket
-        drawn = [F.min_by(F.struct("b", "mine_b"), F.xxhash64("b", "band", F.lit(f"{name}{i}"))).alias(f"d{i}") for i in range(AGAIN)]
-        few = scratch.table(rows.groupBy("band").agg(*drawn).select("band", F.explode(F.array(*[F.col(f"d{i}") for i in range(AGAIN)])).alias("d")).select("band", "d.b", "d.mine_b").distinct(), f"drawn-{name}")
-        met = apart.filter(F.col("members") > SMALL).drop("members").join(few, "band").filter("mine_a <> mine_b")
-        found = found.unionByName(met.select("a", "b"))
+    return scratch.table(rows.select("band", "members", "node", "mine", (F.col("mine") != F.col("its")).alias("apart")), "labelled")
+
+
+def _apart(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
+    """Pairs of members of a small bucket in different components; one of the two is apart from the bucket's pivot."""
+    rows = _labelled(crowded.filter(F.col("members") <= SMALL), labels, scratch)
+    apart = rows.filter("apart").select("band", F.col("node").alias("a"), F.col("mine").alias("mine_a"))
+    others = rows.select("band", F.col("node").alias("b"), F.col("mine").alias("mine_b"), "apart")
+    found = apart.join(others, "band").filter("(not apart or a < b) and mine_a <> mine_b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alike_in_blocks(large: DataFrame, labels: _Labels, signatures: DataFrame, rows: int, cut: float, scratch: Scratch, *, nearest: bool) -> DataFrame:
+    """band, members, a, b: pairs in different components of a large bucket whose signatures agree enough.
+
+    Blocks of members apart from the pivot meet blocks of all members. A pair
+    comes from the first band that it shares only. With `nearest` there is one
+    pair for each member of a block, that of the signature most like its own.
+    """
+    named = _labelled(large, labels, scratch)
+    lone = named.filter("apart").groupBy("band").agg(F.count(F.lit(1)).alias("lone"))
+    named = scratch.table(named.join(scratch.table(lone, "lone"), "band"), "busy")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK).cast("long") - 1))
+    carried = ["band", "members", "node", "mine", "apart", "signature"]
+    known = named.join(signatures.select("node", "signature"), "node")
+    left = known.filter("apart").select(*carried, F.lit(True).alias("asks"), dealt("lone").alias("i"), every("members").alias("j"))
+    right = known.select(*carried, F.lit(False).alias("asks"), dealt("members").alias("j"), every("lone").alias("i"))
+    met = left.unionByName(right)
+
+    def compare(block: pa.Table) -> pa.Table:
+        asks, apart = (np.asarray(block.column(c).to_pylist(), dtype=bool) for c in ("asks", "apart"))
+        node, mine = (block.column(c).to_numpy() for c in ("node", "mine"))
+        signs = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+        band = np.int64(block.column("band")[0].as_py()).view(U64)
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b = [], []
+        if len(x) and len(y):
+            (at,) = np.flatnonzero(band_keys(signs[x[:1]], rows)[0] == band)[:1]
+            theirs, before = signs[y], at * rows
+            for i in x.tolist():
+                agree = (theirs == signs[i]).mean(axis=1)
+                # of two members apart, the pair comes once
+                fit = (agree >= cut) & (mine[y] != mine[i])
+                if not nearest:
+                    fit &= ~apart[y] | (node[y] > node[i])
+                ok = np.flatnonzero(fit)
+                if nearest:
+                    ok = ok[np.argmax(agree[ok])][None] if len(ok) else ok
+                elif before and len(ok):
+                    ok = ok[~(theirs[ok, :before] == signs[i, :before]).reshape(len(ok), at, rows).all(axis=2).any(axis=1)]
+                a.append(np.full(len(ok), node[i]))
+                b.append(node[y[ok]])
+        a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b))
+        same = [pa.array(np.full(len(a), block.column(c)[0].as_py(), dtype=np.int64)) for c in ("band", "members")]
+        return pa.Table.from_arrays([*same, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["band", "members", "a", "b"])
+
+    return met.groupBy("band", "i", "j").applyInArrow(compare, "band long, members long, a long, b long")

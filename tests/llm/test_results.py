@@ -423,6 +423,24 @@ def test_groups_of_altered_copies(spark):
     assert got == brute({i: shingle_set(t, 3) for i, t in docs}, 85)
 
 
+def test_links_inside_large_buckets(spark):
+    """Pairs of twins among pages of one template whose words are common ones: no pivot is like them, and their buckets have far more than SMALL."""
+    r = random.Random(12)
+    docs = []
+    for i in range(300):
+        page = [f"w{k}" for k in range(600)]
+        for k in range(5, 600, 10):
+            page[k] += r.choice("ab")
+        twin = page.copy()
+        for k in r.sample(range(0, 600, 5), 14):
+            twin[k] = f"t{i}x{k}"
+        docs += [(2 * i, " ".join(page)), (2 * i + 1, " ".join(twin))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame, shingle=3, percent=85, with_rows=False).collect()}
+    want = brute({i: shingle_set(t, 3) for i, t in docs}, 85)
+    assert len(set(want.values())) > 120 and got == want
+
+
 def test_minima_estimate_similarity():
     r = np.random.default_rng(3)
     common, a, b = (np.unique(r.integers(0, 2**63, n).astype(U64)) for n in (800, 100, 100))
