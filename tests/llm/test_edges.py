@@ -167,3 +167,12 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):
     for name, table in (("documents", plain), ("labels", labels.drop("text")), ("benchmark", benchmark)):
         table.limit(0).write.parquet(str(empty / f"{name}.parquet"))
     assert p.run(spark, str(empty)).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_near_dedup_keeps_null_ids_and_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, text(21), "b"), (1, text(21), "a"), (2, text(22), "a"), (2, text(23), "a"), (None, text(24), "a"), (None, text(25), "a"), (3, text(26), "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((tuple(r) for r in p.near_dedup(spark, frame, "").collect()), key=repr)
+    assert got == sorted(set(rows[1:]), key=repr)
