@@ -90,6 +90,12 @@ class _Index:
         d = D.metric(self.metric)(D.vector(values), D.doubles(F.col("vector")))
         return top_k(rows.select("image_id", d.alias("distance")), k, on_short=on_short)
 
+    def _nearest(self, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, image_id, distance of the k nearest of each query's candidates (query_id, image_id)."""
+        rows = pairs.join(self.features, "image_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+        d = D.metric(self.metric)(D.doubles(F.col("_q")), D.doubles(F.col("vector")))
+        return ranked(rows.select("query_id", "image_id", d.alias("distance")), "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance")
+
     def admitted(self, query: Sequence[float]) -> float:
         """The share of rows that a query's candidates are."""
         return self.candidates(D.check_query(query, self.dim)).count() / self.num_vectors
@@ -136,12 +142,15 @@ class SignKeys(_Index):
         return self.table.join(F.broadcast(mine), ["table", "key"], "left_semi").select("image_id").distinct()
 
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): one equi-join on keys."""
+        """query_id, rank, image_id, distance for a table (query_id, vector): one equi-join on keys.
+
+        A query asks for its own key of a table and for those across one hyperplane.
+        """
         asked = self.keys(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
+        probes = F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(self.params["depth"])])
+        asked = asked.select("query_id", "table", F.explode(probes).alias("key"))
         pairs = asked.join(self.table, ["table", "key"]).select("query_id", "image_id").distinct()
-        rows = pairs.join(self.features, "image_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
-        d = D.metric(self.metric)(D.doubles(F.col("_q")), D.doubles(F.col("vector")))
-        return ranked(rows.select("query_id", "image_id", d.alias("distance")), "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance")
+        return self._nearest(pairs, queries, k)
 
 
 class Cells(_Index):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
 from nearfield.operators import ann, knn, search
+from nearfield.plans import queries
 
 SCHEMA = "image_id long, vector array<float>"
 
@@ -112,6 +113,22 @@ def test_signkeys_recall_and_rerank(rows):
     assert index.search(m[0], 1).first()["image_id"] == 1000
 
 
+def recall(spark, name, sf="/root/testdata/sf0.001"):
+    """Of the registered query, over all its queries, against brute force."""
+    e = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    e = {i: v / np.linalg.norm(v) for i, v in e.items() if np.linalg.norm(v) > 0}
+    ids = np.array(sorted(e))
+    m = np.array([e[i] for i in ids])
+    want = {(i, j) for i in ids[ids % 20 == 0].tolist() for j in ids[np.lexsort((ids, -(m @ e[i])))[: queries.K]].tolist()}
+    got = {(r["query_id"], r["image_id"]) for r in queries.queries()[name](spark, sf).collect()}
+    return len(got & want) / len(want)
+
+
+@pytest.mark.parametrize("name", ["signkey_knn"])
+def test_registered_index_recall(spark, name):
+    assert recall(spark, name) >= 0.9
+
+
 @pytest.mark.parametrize("make", [lambda t: ann.SignKeys(t, tables=8, depth=3), lambda t: ann.Cells(t, cells=4, probes=2), lambda t: ann.BucketedLSH(t, bucket=0.5)])
 def test_index_lifecycle(rows, tmp_path, make):
     table, m = rows
