@@ -179,6 +179,21 @@ class Cells(_Index):
         order = np.argsort(((np.array(self.centers) - q) ** 2).sum(1), kind="stable")
         return self.table.filter(F.col("cell").isin(order[: self.params["probes"]].tolist())).select("image_id")
 
+    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on the cells that each query reads."""
+        centers, probes = np.array(self.centers), self.params["probes"]
+
+        def run(stream):
+            for batch in stream:
+                if len(batch):
+                    v = np.asarray(batch.column("vector").to_pylist(), dtype=float)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    order = np.argsort(((centers[None] - v[:, None]) ** 2).sum(2), axis=1, kind="stable")[:, :probes]
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(order.tolist(), pa.list_(pa.int32()))], ["query_id", "cells"])
+
+        asked = queries.select("query_id", "vector").mapInArrow(run, "query_id long, cells array<int>").select("query_id", F.explode("cells").alias("cell"))
+        return self._nearest(asked.join(self.table, "cell").select("query_id", "image_id"), queries, k)
+
 
 class BucketedLSH(_Index):
     kind, partitions = "lsh", ["table"]
@@ -212,3 +227,8 @@ class BucketedLSH(_Index):
     def candidates(self, query: list[float]) -> DataFrame:
         one = self.spark.createDataFrame([(0, query)], "image_id long, vector array<double>")
         return self.table.join(self._hashes(one).drop("image_id"), ["table", "key"], "left_semi").select("image_id").distinct()
+
+    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, image_id, distance for a table (query_id, vector): one equi-join on hashes."""
+        asked = self._hashes(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
+        return self._nearest(asked.join(self.table, ["table", "key"]).select("query_id", "image_id").distinct(), queries, k)

@@ -334,9 +334,7 @@ def _index(make: Callable) -> Callable:
 
     def run(spark, sf):
         e = store(spark, sf)["embedding"]
-        index = make(e).build()
-        q = vectors({"embedding": e}, QUERY)["embedding"]
-        return six(index.search(q, K), "distance")
+        return six(make(e).build().search_many(_query_table(spark, sf), K), "distance")
 
     return run
 

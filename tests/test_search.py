@@ -124,7 +124,7 @@ def recall(spark, name, sf="/root/testdata/sf0.001"):
     return len(got & want) / len(want)
 
 
-@pytest.mark.parametrize("name", ["signkey_knn"])
+@pytest.mark.parametrize("name", ["signkey_knn", "signkey_topk", "cell_topk", "lsh_topk"])
 def test_registered_index_recall(spark, name):
     assert recall(spark, name) >= 0.9
 
