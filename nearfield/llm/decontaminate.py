@@ -12,9 +12,11 @@ values; at least `CONSISTENT`; 1 without placeholders).
 - A number is a run of digits, with dots and commas inside it; a unit (the
   fixed list below) follows one; a name is a capitalised word that does not
   begin a sentence. Other words are lower-cased.
-- Windows with more than two placeholders say too little and are left out.
-- A text of fewer than five tokens has one window, of all of it; so such an
-  item is found only in a document that has nothing else.
+- Windows with more than two placeholders say too little and are left out. An
+  item that has no others is found by windows of its plain tokens, with its own
+  values.
+- A text of fewer than five tokens has one window, of all of it; an item that
+  short is also found inside a document, by its plain tokens.
 
 Nulls and others: null and empty texts have no windows; a null doc_id is
 reported as null, and `decontaminated` judges all rows with a null id as one;
@@ -67,6 +69,29 @@ def windows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return out.select(*keys, F.posexplode(F.when(F.size("_h") < WINDOW, few).otherwise(many)).alias("_pos", "_hash"))
 
 
+def _plain_windows(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """keys, _pos, _hash for each run of so many plain tokens, lower-cased."""
+    out = texts.select(*keys, F.transform(_tokens(F.lower(_plain(F.col(text)))), lambda t: F.xxhash64(t)).alias("_h"))
+    runs = lambda n: F.when(F.size("_h") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_h") - (n - 1), F.lit(1))), lambda i: F.struct((i - 1).alias("_pos"), F.xxhash64(F.slice(F.col("_h"), i, n), F.lit(n)).alias("_hash"))))
+    return out.select(*keys, F.explode(F.flatten(F.filter(F.array(*[runs(n) for n in sizes]), lambda x: x.isNotNull()))).alias("_w")).select(*keys, "_w._pos", "_w._hash")
+
+
+def _plain_item_windows(items: DataFrame, wanted: DataFrame) -> tuple[DataFrame | None, list[int]]:
+    """What `_item_windows` has, of plain tokens, for items that are short or have no window there; and the windows' sizes."""
+    tokens = _aligned(items, ["item_id"], "text", "raw", "canon").select("item_id", F.size("raw").alias("n")).filter("n > 0")
+    bare = tokens.join(wanted.select("item_id").distinct().withColumn("has", F.lit(True)), "item_id", "left").filter((F.col("n") < WINDOW) | F.col("has").isNull())
+    bare = bare.select("item_id", F.least("n", F.lit(WINDOW)).alias("size"))
+    sizes = sorted(r["size"] for r in bare.select("size").distinct().collect())  # 5 at most
+    if not sizes:
+        return None, sizes
+    parts = [_plain_windows(items.join(bare.filter(F.col("size") == n), "item_id", "left_semi"), ["item_id"], "text", [n]) for n in sizes]
+    kept = parts[0]
+    for more in parts[1:]:
+        kept = kept.unionByName(more)
+    kept = kept.select("item_id", F.col("_pos").alias("ipos"), F.col("_hash").alias("hash")).distinct()
+    return kept.join(kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows")), "item_id"), sizes
+
+
 def _aligned(texts: DataFrame, keys: list[str], text: str, plain: str, template: str) -> DataFrame:
     """keys with the tokens of the plain text and of its template."""
     out = texts.select(*keys, _plain(F.col(text)).alias("_p"))
@@ -96,6 +121,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     # the windows of a benchmark are few: the planner broadcasts them if their file is small enough, and shuffles else
     met = windows(rows, ["doc_id"], "text").join(wanted, F.col("_hash") == F.col("hash"))
+    bare, sizes = _plain_item_windows(items, wanted)
+    if sizes:
+        bare = scratch.table(bare, "plain-windows")
+        met = met.unionByName(_plain_windows(rows, ["doc_id"], "text", sizes).join(bare, F.col("_hash") == F.col("hash")))
     met = met.groupBy("doc_id", "item_id", "windows", "ipos").agg(F.min(F.col("_pos") - F.col("ipos")).alias("low"), F.max(F.col("_pos") - F.col("ipos")).alias("high"))
     met = scratch.table(met, "met")
     share = F.count(F.lit(1)) / F.first("windows")

@@ -129,6 +129,14 @@ def test_other_values_same_question(spark):
     assert loose is None or loose["slots"] < 1.0
 
 
+def test_items_dense_in_values_and_short_items(spark):
+    items = [(1, "Compute 12 + 7 x 3 - 5 + 18"), (2, "Share 3 kg, 5 kg and 7 kg among Ann, Bob and Sue"), (3, "What is 12 + 35?")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"Some words go before. {t} And others follow here.") for i, t in items] + [(4, "What is 12 and what is 35? Share 3 kg of it.")]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 # 4 token files
 
 
