@@ -19,14 +19,16 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) is a temporary
-    folder made, once for each application.
+    Only where the session names none and runs in one process (tests, local
+    mode) is a temporary folder made, once for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark._jvm.org.apache.hadoop.fs.Path(named)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
         return re.sub("^file:/+", "file:///", whole)
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="nearfield-")
@@ -94,6 +96,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system; reused workers would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_cache() -> dict:
     """A dict that outlives a task in a reused Python worker."""
     name = "_nearfield_worker_cache"

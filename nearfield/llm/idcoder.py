@@ -16,6 +16,8 @@ an id is one interval and one step of the coder.
 A block, little-endian: lanes u32, ids u32, payload bytes u32, crc32 of the
 ids as u32 u32; then the payload: how many 16-bit words each lane has (u32
 each), and the words, one lane after another. A reader needs only the block.
+A block with an id of 2^16 or more has 0 lanes, and as its payload two blocks,
+of the ids' low and of their high 16 bits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zlib
 import numpy as np
 
 #: ids of a block, at most; a block of fewer than 64 ids a lane has fewer lanes
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 LANES = 16384
 ALPHABET = 1 << 16
 _U64 = np.uint64
@@ -172,18 +174,24 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
-    """One block; ids below 2^16."""
+    """One block; ids below 2^32."""
     n = len(ids)
     if n and int(ids.max()) >= ALPHABET:
-        raise ValueError("ids must be below 2^16")
+        payload = encode_block(ids & np.uint32(ALPHABET - 1)) + encode_block(ids >> np.uint32(16))
+        return struct.pack(HEAD, 0, n, len(payload), _crc(ids)) + payload
     lanes, depth = _lanes(n)
-    grid = np.zeros(lanes * depth, dtype=np.int64)
-    grid[:n] = ids
-    grid = grid.reshape(lanes, depth).T.copy()
+    strips = np.zeros(lanes * depth, dtype=np.uint16)
+    strips[:n] = ids
+    strips = strips.reshape(lanes, depth)
     model, coder = _Model(), _Encoder(lanes, depth + 16)
     one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    for now in grid:
+    for step in range(depth):
+        now = strips[:, step].astype(np.int64)
         look = model.look(one, two)
         _, p2, p1, context, ends = look
         event = np.where(p2 == now, 0, np.where(p1 == now, 1, 2))
@@ -200,18 +208,21 @@ def encode_block(ids: np.ndarray) -> bytes:
     coder.close()
     words = coder.out[np.arange(coder.out.shape[1])[None, :] < coder.at[:, None]]
     payload = coder.at.astype("<u4").tobytes() + words.astype("<u2").tobytes()
-    return struct.pack(HEAD, lanes, n, len(payload), zlib.crc32(ids.astype("<u4").tobytes())) + payload
+    return struct.pack(HEAD, lanes, n, len(payload), _crc(ids)) + payload
 
 
 def decode_block(raw: bytes) -> np.ndarray:
     """The ids of one block, checked."""
     lanes, n, size, crc = struct.unpack_from(HEAD, raw)
+    if n and not lanes:
+        cut = HEAD_SIZE + HEAD_SIZE + struct.unpack_from(HEAD, raw, HEAD_SIZE)[2]
+        return _checked(decode_block(raw[HEAD_SIZE:cut]) | decode_block(raw[cut:]) << np.uint32(16), crc)
     depth = _lanes(n)[1]
     counts = np.frombuffer(raw, dtype="<u4", count=lanes, offset=HEAD_SIZE).astype(np.int64)
     words = np.frombuffer(raw, dtype="<u2", offset=HEAD_SIZE + 4 * lanes, count=(size - 4 * lanes) // 2)
     model, coder = _Model(decodes=True), _Decoder(words, counts)
     one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    grid = np.zeros((depth, lanes), dtype=np.int64)
+    strips = np.zeros((lanes, depth), dtype=np.uint16)
     for step in range(depth):
         look = model.look(one, two)
         _, p2, p1, context, ends = look
@@ -229,10 +240,13 @@ def decode_block(raw: bytes) -> np.ndarray:
         begin[missed] += share * model.cum[x]
         size[missed] = share * model.freq[x]
         coder.take(begin, size)
-        grid[step] = now
+        strips[:, step] = now
         model.learn(one, look, now, event)
         one, two = now, one
-    ids = grid.T.ravel()[:n].astype(np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    return _checked(strips.ravel()[:n].astype(np.uint32), crc)
+
+
+def _checked(ids: np.ndarray, crc: int) -> np.ndarray:
+    if _crc(ids) != crc:
         raise ValueError("a block's checksum is wrong")
     return ids

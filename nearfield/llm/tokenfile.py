@@ -1,7 +1,9 @@
 """Token ids of a corpus in compressed files, in the order of document ids.
 
-Documents are dealt into ranges of ids of about equal counts; each range is
-one task and one file, sorted, encoded and written as it streams by. A file:
+Documents are dealt into ranges of (id, hash of the text), as many as there
+are shuffle partitions, and more where a range would have over `FILE_BYTES` of
+text; each range is one task and one file, sorted, encoded and written as it
+streams by. So rows of one id, or of null ids, don't meet in one task. A file:
 magic and version; blocks of the range coder (see idcoder), each independent
 and checksummed; the documents' ids and lengths (a zstd frame); the frame's
 place and size, the number of blocks, and the magic again. Blocks do not stop
@@ -11,9 +13,9 @@ Tasks write under names of their own attempt, and the table of files, written
 once by Spark, names only those of attempts that succeeded.
 
 Nulls and others: a null text is empty and has the end id only; rows with a
-null id come last; rows with one id are ordered by text; an empty table gives
-one empty file and an empty result; other columns are not read. Ids must be
-below 2^16.
+null id come last; rows with one id are ordered by a hash of the text, then by
+the text; an empty table gives an empty result; other columns are not read.
+Token ids are below 2^32.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 from .idcoder import BLOCK, HEAD, HEAD_SIZE, decode_block, encode_block
 from .tokens import PieceEncoder
 from .words import batches
@@ -37,6 +39,10 @@ MAGIC, VERSION = b"NFIDFILE", 1
 _FOOT = "<QQI8s"
 _FOOT_SIZE = 28
 END = 2
+#: Bytes of text that a file holds on average, at most.
+FILE_BYTES = 128 << 20
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 
 
 class FileWriter:
@@ -111,16 +117,13 @@ _NULL = np.iinfo(np.int64).min
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, scratch: Scratch, *, key: str = "doc_id", text: str = "text", end: int = END) -> list[tuple[str, int, int]]:
-    """Writes the files; returns (name, documents, ids) of each, in order. There is one for each shuffle partition."""
+    """Writes the files; returns (name, documents, ids) of each, in order."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    cuts = rows.select("k").agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))[: parts - 1]
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("k").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("k"))))
-    dealt = rows.withColumn("p", part).repartitionById(len(cuts) + 1, F.col("p"))
-    dealt = dealt.sortWithinPartitions(F.col("k").asc_nulls_last(), "t")
+    held = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
+    order = [F.col("k").asc_nulls_last(), "h"]
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "t").drop("h")
 
     def write(stream):
         encoder = PieceEncoder.of(path)
@@ -130,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, scratch: Scratch, *, k
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         writer, docs, total = FileWriter(place.open_output_stream(f"{base}/{name}", compression=None)), 0, 0
         for whole in stream:
-            for batch in batches(whole, "t", 8 << 20):
+            for batch in batches(whole, "t", SLICE):
                 ids, offsets = encoder.encode(batch.column("t"))
                 sizes = np.diff(offsets) + 1
                 ended = np.full(int(sizes.sum()), end, dtype=np.uint32)
@@ -141,6 +144,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, scratch: Scratch, *, k
                 writer.add(keys, sizes, ended)
                 docs, total = docs + len(batch), total + len(ended)
         writer.close()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["part", "name", "docs", "ids"])
 
     files = scratch.table(dealt.mapInArrow(write, "part int, name string, docs long, ids long"), "files")
@@ -165,6 +169,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]], folder:
                         keys = pa.array(docs, mask=docs == _NULL)
                         yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += len(ids)
+        release()
 
     return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

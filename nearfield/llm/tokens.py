@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from .common import worker_cache
 
-#: Distinct pieces that are remembered; beyond it the memory is emptied, which costs time and changes no result.
-REMEMBERED = 1_000_000
+#: Distinct pieces that are remembered; beyond it those met once are forgotten, which costs time and changes no result.
+REMEMBERED = 200_000
 
 
 def _visible() -> dict[int, str]:
@@ -51,6 +51,22 @@ class PieceEncoder:
         self.used = 0
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.met = np.zeros(1 << 16, dtype=np.int32)  # slices of text that had the piece
+
+    def _forget(self) -> None:
+        """Keeps the pieces that several slices had, if they are fewer than half of those allowed."""
+        n = len(self.known)
+        often = np.flatnonzero(self.met[:n] > 1)
+        known, size, flat, start = self.known, self.size[often], self.flat, self.start[often]
+        self._empty()
+        if len(often) > REMEMBERED // 2:
+            return
+        total = np.cumsum(size)
+        self.used = int(total[-1]) if len(total) else 0
+        self.flat, self.start, self.size, self.met = _room(self.flat, self.used), _room(self.start, len(often)), _room(self.size, len(often)), _room(self.met, len(often))
+        self.flat[: self.used] = flat[np.repeat(start - (total - size), size) + np.arange(self.used)]
+        self.start[: len(often)], self.size[: len(often)], self.met[: len(often)] = total - size, size, 1
+        self.known = known.take(pa.array(often))
 
     @staticmethod
     def of(path: str) -> PieceEncoder:
@@ -77,7 +93,7 @@ class PieceEncoder:
         ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
         row, used = len(self.known), self.used
         self.flat = _room(self.flat, used + len(ids))
-        self.start, self.size = (_room(x, row + len(found)) for x in (self.start, self.size))
+        self.start, self.size, self.met = (_room(x, row + len(found)) for x in (self.start, self.size, self.met))
         self.flat[used : used + len(ids)] = ids
         self.start[row : row + len(found)] = used + np.cumsum(sizes) - sizes
         self.size[row : row + len(found)] = sizes
@@ -87,7 +103,7 @@ class PieceEncoder:
     def _rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each piece of each text its row in the memory; offsets by text."""
         if len(self.known) > REMEMBERED:
-            self._empty()
+            self._forget()
         column = pc.ascii_lower(pc.fill_null(column, "").cast(pa.string()))
         # a full stop or comma after a word is a piece of its own anyway; set apart, words repeat more often
         column = pc.replace_substring_regex(column, pattern=r"([a-z])([.,])(\s|$)", replacement=r"\1 \2\3")
@@ -99,6 +115,7 @@ class PieceEncoder:
         if new.size:
             at[new] = len(self.known) + np.arange(new.size)
             self._learn(coded.dictionary.take(pa.array(new)))
+        self.met[at] += 1
         offsets = np.asarray(pieces.offsets, dtype=np.int64)
         return at[np.asarray(coded.indices)] if len(at) else np.zeros(0, dtype=np.int64), offsets - offsets[0]
 

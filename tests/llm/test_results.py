@@ -156,8 +156,12 @@ def test_coder_detects_damage_and_compresses():
     broken[-200] ^= 255
     with pytest.raises(ValueError, match="checksum"):
         idcoder.decode_block(bytes(broken))
-    with pytest.raises(ValueError):
-        idcoder.encode_block(np.array([70_000], dtype=np.uint32))
+    wide = np.array([70_000, 0, 2**32 - 1, 65_536, 65_535] * 300, dtype=np.uint32)
+    raw = bytearray(idcoder.encode_block(wide))
+    assert (idcoder.decode_block(bytes(raw)) == wide).all() and len(raw) < wide.nbytes
+    raw[14] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        idcoder.decode_block(bytes(raw))
 
 
 @given(st.lists(st.text(max_size=40), max_size=6))
@@ -172,6 +176,20 @@ def test_pieces_have_the_tokenizers_ids(texts):
     assert e.counts(pa.array(texts, pa.string())).tolist() == np.diff(at).tolist()
 
 
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    import pyarrow as pa
+
+    from nearfield.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    e, r = tokens.PieceEncoder(queries.tokenizer_path()), random.Random(2)
+    for _ in range(12):
+        texts = [" ".join(f"{r.choice(['apple', 'pear', 'plum'])} x{r.randrange(10**6)}" for _ in range(8)) for _ in range(3)]
+        ids, at = e.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(spark, documents):
     from tokenizers import Tokenizer
 
