@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import quality as classifier
-from nearfield.llm.common import Scratch, fresh, read_table
+from nearfield.llm.common import Scratch, read_table
 from nearfield.llm.decontaminate import decontaminated
-from nearfield.llm.minhash import near_duplicates
+from nearfield.llm.minhash import one_of_each
 from nearfield.llm.mixing import mix_copies, source_targets
 from nearfield.llm.queries import tokenizer_path
 from nearfield.llm.tokenfile import write_and_read
@@ -25,24 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; rows that repeat an id and its text are one.
+    """The first document of each group of near-duplicates, by id, null ids last.
 
-    Rows with a null id name no document and all stay; so do rows of one id
-    with different texts. Of rows that repeat both, the least by the other columns stays.
+    A row is known by its id and text: rows without an id, and different texts
+    of one id, are documents of their own; rows that repeat both are one.
     """
-    found = near_duplicates(docs, shingle=5, percent=80, with_rows=False)
-    kept = Scratch(spark, "kept").table(found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "ids")
-    (name, count, digest) = fresh(docs, "_kept_id", "_kept_n", "_digest")
-    ids = kept.select(F.col("doc_id").alias(name), F.col("n").alias(count))
-    out = docs.join(ids.select(name), docs["doc_id"].eqNullSafe(ids[name]), "left_semi")
-    if kept.filter("n > 1 and doc_id is not null").isEmpty():
-        return out
-    again = ids.filter(F.col(name).isNotNull() & (F.col(count) > 1)).select(name)
-    single = docs.join(ids.filter(F.col(name).isNull() | (F.col(count) == 1)).select(name), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
-    many = docs.join(again, docs["doc_id"] == F.col(name), "left_semi").withColumn(digest, F.sha2(F.col("text"), 256))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    least = many.groupBy("doc_id", digest).agg(F.min(F.struct(*rest)).alias(name)).select("doc_id", *[F.col(f"{name}.{c}").alias(c) for c in rest])
-    return single.unionByName(least.select(*docs.columns))
+    return one_of_each(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

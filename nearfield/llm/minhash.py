@@ -21,11 +21,13 @@ Rows per band are the most with which a pair at the threshold misses all bands
 with a probability of at most `MISS`; signatures drop a confirmed pair with
 about the same.
 
+A row is known by its id and a hash of its text, so rows without an id, and
+different texts of one id, are documents of their own.
+
 Nulls and others: null and empty texts have an empty set and link with
-nothing; a null id links as its text does, but names no component (it is null
-where all its component's ids are); repeated ids are one document as far as
-components go; an empty table gives an empty result; other columns pass
-through unchanged.
+nothing; a row with a null id links as its text does, but names no component
+(that is null where all its component's ids are); repeated rows are copies; an
+empty table gives an empty result; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, release
 from .graph import components
 from .words import U64, Words, batches, mix, shingle_sets, text_bytes
 
@@ -90,10 +92,15 @@ def band_keys(signs: np.ndarray, rows: int) -> np.ndarray:
     return mix(bands + (np.arange(1, count + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)))
 
 
+def _row(k: Column, h: Column) -> Column:
+    """One long for an id and a text's hash; what is joined by it is compared by both as well."""
+    return F.xxhash64(k, h)
+
+
 def sketches(docs: DataFrame, *, shingle: int, rows: int, hashes: int, key: str, text: str) -> DataFrame:
-    """key, n, k1, k2 (a digest of the set), bands, signature for every row; no bands for empty sets."""
-    few = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    names = ["k", "n", "k1", "k2", "bands", "signature"]
+    """k (the key), h (a hash of the text), n, k1, k2 (a digest of the set), bands, signature for every row; no bands for empty sets."""
+    few = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    names = ["k", "h", "n", "k1", "k2", "bands", "signature"]
 
     def sketch(stream):
         for whole in stream:
@@ -110,10 +117,11 @@ def sketches(docs: DataFrame, *, shingle: int, rows: int, hashes: int, key: str,
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))
                 at = dict(zip(full.tolist(), range(len(full)), strict=True))
                 packed = [signs[at[i]].tobytes() if i in at else b"" for i in range(len(sets))]
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists, pa.array(packed, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists, pa.array(packed, pa.binary())], names)
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
-    return few.mapInArrow(sketch, f"k {kind}, n long, k1 long, k2 long, bands array<long>, signature binary")
+    return few.mapInArrow(sketch, f"k {kind}, h long, n long, k1 long, k2 long, bands array<long>, signature binary")
 
 
 def agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -130,16 +138,19 @@ def agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, agree double")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text: str) -> DataFrame:
-    """node, items: the full sets of the documents named, sorted 64-bit hashes as bytes."""
+def set_table(docs: DataFrame, reps: DataFrame, *, shingle: int, key: str, text: str) -> DataFrame:
+    """node, items: the full sets of the documents in reps (node, rk, rh), sorted 64-bit hashes as bytes."""
     # candidates grow with the corpus, so this is a shuffle at every size but the smallest; the hint keeps one plan
-    few = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ids.hint("merge"), "node", "left_semi")
+    few = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).withColumn("m", _row(F.col("k"), F.col("h")))
+    found = few.join(reps.withColumn("m", _row(F.col("rk"), F.col("rh"))).hint("merge"), "m").filter(F.col("k").eqNullSafe(F.col("rk")) & (F.col("h") == F.col("rh")))
+    few = found.groupBy("m").agg(F.first("node").alias("node"), F.first("t").alias("t")).select("node", "t")  # of repeated rows one
 
     def build(stream):
         for whole in stream:
             for batch in batches(whole, "t"):
                 sets = shingle_sets(Words(text_bytes(batch, "t")), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+        release()
 
     return few.mapInArrow(build, "node long, items binary")
 
@@ -202,21 +213,16 @@ class _Labels:
         return rows.join(named, node, "left").withColumn(label, F.coalesce("_v", node)).drop("_v")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, hashes: int = HASHES, key: str = "doc_id", text: str = "text", with_rows: bool = True) -> DataFrame:
-    """The rows of docs with n_shingles, component_id (the least id reachable) and kept (the id is its component's least).
+def _classes(docs: DataFrame, scratch: Scratch, *, shingle: int, percent: int, hashes: int, key: str, text: str) -> DataFrame:
+    """k, h, n of every row; least, least_h: the first row of its component by (id, hash of the text), null ids last."""
+    rows = band_rows(percent / 100, hashes)
+    sketch = scratch.table(sketches(docs, shingle=shingle, rows=rows, hashes=hashes, key=key, text=text).withColumn("r", F.monotonically_increasing_id()), "sketches")
+    # a written table: its numbers stay
+    first = sketch.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.isnull("k").alias("void"), "k", "h", "r")).alias("f"))
+    nodes = scratch.table(first.select("k1", "k2", F.col("f.k").alias("rk"), F.col("f.h").alias("rh"), F.col("f.r").alias("r"), F.col("f.r").alias("node")), "nodes")
 
-    Links: 100 * intersection >= percent * union of the shingle sets. Without
-    with_rows only the key and these columns come back, and no text moves.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    threshold = percent / 100
-    rows = band_rows(threshold, hashes)
-    sketch = scratch.table(sketches(docs, shingle=shingle, rows=rows, hashes=hashes, key=key, text=text), "sketches")
-    nodes = scratch.table(sketch.filter("n > 0 and k is not null").groupBy("k1", "k2").agg(F.min("k").cast("long").alias("node")), "nodes")
-
-    # the row that stands for its class: joined by its id too, so that many copies don't meet
-    own = sketch.select(F.col("k").cast("long").alias("node"), "k1", "k2", "bands", "signature").join(nodes, ["node", "k1", "k2"])
+    # the row that stands for its class: joined by its number, so that many copies don't meet
+    own = sketch.select("r", "bands", "signature").join(nodes.select("r", "node"), "r")
     signatures = scratch.table(own.select("node", "bands", "signature"), "own")
     buckets = signatures.select("node", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.min("node").alias("near"), F.max("node").alias("far"), F.count(F.lit(1)).alias("members")).filter("far <> near").select("band", "members")
@@ -225,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, has
     # most company first, then the least id, as one long and the id
     central = members.join(company, "node").groupBy("band").agg(F.min_by("node", F.struct(-F.col("company"), F.col("node"))).alias("pivot"))
     crowded = scratch.table(members.join(scratch.table(central, "central"), "band"), "crowded")
-    links_of = _Confirm(docs, scratch, signatures, shingle, percent, hashes, key, text)
+    links_of = _Confirm(docs, scratch, signatures, nodes, shingle, percent, hashes, key, text)
 
     labels = _Labels(scratch)
     links = links_of(crowded.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
@@ -242,31 +248,64 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, has
         if rest is not None:
             labels.add(rest)
 
-    named = nodes if labels.table is None else labels.on(nodes, "node", "least").select("k1", "k2", F.col("least").alias("node"))
-    named = scratch.table(named, "named")
-    size, component, kept, k, k1, k2 = fresh(docs, "n_shingles", "component_id", "kept", "_k", "_k1", "_k2")
-    kind = docs.schema[key].dataType
-    found = sketch.select(F.col("k").alias(k), F.col("n").alias(size), F.col("k1").alias(k1), F.col("k2").alias(k2))
-    found = found.join(named.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("node").alias(component)), [k1, k2], "left")
-    found = found.withColumn(component, F.coalesce(F.col(component), F.when(F.col(size) == 0, F.col(k).cast("long"))).cast(kind))
-    found = found.withColumn(kept, F.col(k).eqNullSafe(F.col(component))).drop(k1, k2)
+    named = labels.on(nodes.select("node", "k1", "k2", "rk", "rh"), "node", "label")
+    if labels.table is not None:
+        named = scratch.table(named, "labelled")
+        least = named.groupBy("label").agg(F.min(F.struct(F.isnull("rk").alias("void"), "rk", "rh")).alias("f")).select("label", F.col("f.rk").alias("rk"), F.col("f.rh").alias("rh"))
+        named = named.drop("rk", "rh").join(scratch.table(least, "least"), "label")
+    named = scratch.table(named.select("k1", "k2", F.col("rk").alias("least"), F.col("rh").alias("least_h")), "named")
+    return sketch.select("k", "h", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("k", "h", "n", "least", "least_h")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, hashes: int = HASHES, key: str = "doc_id", text: str = "text", with_rows: bool = True) -> DataFrame:
+    """The rows of docs with n_shingles, component_id (the least id reachable) and kept (the id is its component's least).
+
+    Links: 100 * intersection >= percent * union of the shingle sets. Without
+    with_rows only the key and these columns come back, and no text moves.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    found = _classes(docs, scratch, shingle=shingle, percent=percent, hashes=hashes, key=key, text=text)
+    size, component, kept, k, h = fresh(docs, "n_shingles", "component_id", "kept", "_k", "_h")
+    found = found.select(F.col("k").alias(k), F.col("h").alias(h), F.col("n").alias(size), F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("least")).alias(component))
+    found = found.withColumn(kept, F.col(k).eqNullSafe(F.col(component)))
     if not with_rows:
-        return found.withColumnRenamed(k, key)
-    return _attach(docs, found, key, k)
+        return found.drop(h).withColumnRenamed(k, key)
+    one = found.groupBy(k, h).agg(*[F.min(c).alias(c) for c in (size, component, kept)])  # repeated rows agree
+    return _same_row(docs, one, key, text, k, h, "left").drop(k, h)
+
+
+def _same_row(docs: DataFrame, found: DataFrame, key: str, text: str, k: str, h: str, how: str) -> DataFrame:
+    return docs.join(found, (_row(docs[key], F.xxhash64(docs[text])) == _row(found[k], found[h])) & docs[key].eqNullSafe(found[k]) & (F.xxhash64(docs[text]) == found[h]), how)
 
 
-def _attach(docs: DataFrame, found: DataFrame, key: str, k: str) -> DataFrame:
-    """The documents with what was found; repeated ids agree, so one row of each will do."""
-    extra = [c for c in found.columns if c != k]
-    one = found.groupBy(k).agg(*[F.min(c).alias(c) for c in extra])
-    return docs.join(one, docs[key].eqNullSafe(one[k]), "left").drop(k)
+def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, hashes: int = HASHES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of the least id, then of the least hash of the text, then of the least other columns.
+
+    Rows without words are like nothing and stay, but of those that repeat an
+    id and its text one.
+    """
+    scratch = Scratch(docs.sparkSession, "one")
+    found = _classes(docs, scratch, shingle=shingle, percent=percent, hashes=hashes, key=key, text=text)
+    first = (F.col("n") == 0) | (F.col("k").eqNullSafe(F.col("least")) & (F.col("h") == F.col("least_h")))
+    # how many rows must become one: null ids without words are told apart by nothing, so they all stay
+    kept = scratch.table(found.filter(first).groupBy("k", "h").agg(F.sum(F.when(F.col("k").isNull() & (F.col("n") == 0), 0).otherwise(1)).alias("times")), "kept")
+    k, h, least = fresh(docs, "_k", "_h", "_least")
+    ids = lambda these: kept.filter(these).select(F.col("k").alias(k), F.col("h").alias(h))
+    single = _same_row(docs, ids("times < 2"), key, text, k, h, "left_semi")
+    if kept.filter("times > 1").isEmpty():
+        return single
+    many = _same_row(docs, ids("times > 1"), key, text, k, h, "left_semi").withColumn(h, F.xxhash64(text))
+    rest = [c for c in docs.columns if c not in (key, text)]
+    # one text for each id and hash; without other columns the least of a constant
+    one = many.groupBy(key, h, text).agg(F.min(F.struct(F.lit(0).alias(k), *rest)).alias(least))
+    return single.unionByName(one.select(*[F.col(f"{least}.{c}").alias(c) if c in rest else F.col(c) for c in docs.columns]))
 
 
 class _Confirm:
     """Confirmed links of pairs, or None without pairs."""
 
-    def __init__(self, docs, scratch, signatures, shingle, percent, hashes, key, text):
-        self.docs, self.scratch, self.signatures = docs, scratch, signatures
+    def __init__(self, docs, scratch, signatures, nodes, shingle, percent, hashes, key, text):
+        self.docs, self.scratch, self.signatures, self.nodes = docs, scratch, signatures, nodes
         self.how, self.percent = {"shingle": shingle, "key": key, "text": text}, percent
         p = percent / 100
         self.cut = p - 4 * math.sqrt(p * (1 - p) / hashes)
@@ -285,7 +324,8 @@ class _Confirm:
 
     def _checked(self, alike: DataFrame, check) -> DataFrame:
         ids = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "node")
-        sets = self.scratch.table(set_table(self.docs, ids, **self.how), "sets")
+        reps = self.scratch.table(ids.join(self.nodes.select("node", "rk", "rh"), "node"), "reps")
+        sets = self.scratch.table(set_table(self.docs, reps, **self.how), "sets")
         links = self.scratch.table(check(alike, sets, self.percent), "links")
         self.scratch.drop(sets)
         self.scratch.sweep()
