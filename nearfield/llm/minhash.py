@@ -11,11 +11,12 @@ The pivot is the member with the most company over all its bands: of a text
 and its altered copies the text itself, to which all copies are nearer than to
 each other. A pivot can still miss two members that are alike. So members left
 apart from their pivot are compared with all members of other components: in
-buckets of up to `SMALL` members as a join of pairs; in larger ones in blocks of
-about `BLOCK` members dealt by a hash, so that a signature moves once for each
-block it meets, not once for each member. There every member apart is first
-linked by the signature most like its own, and what still lies in different
-components is then compared in full. No pair of a bucket is left out.
+buckets of up to `SMALL` members as a join of pairs; in larger ones in blocks,
+dealt by a hash, of about `BLOCK` members or `BLOCK_ITEMS` shingles, so that a
+set moves once for each block it meets, not once for each member. A block takes
+signatures from the sets, confirms what agrees on the sets at once, and gives a
+forest of links: fewer rows than it has members, however many pairs are alike.
+No pair of a bucket is left out.
 
 Rows per band are the most with which a pair at the threshold misses all bands
 with a probability of at most `MISS`; signatures drop a confirmed pair with
@@ -47,8 +48,8 @@ from .words import U64, Words, batches, mix, shingle_sets, text_bytes
 HASHES = 128
 MISS = 1e-6
 SMALL = 32
-BLOCK = 512
-SET_BLOCK = 128
+BLOCK = 1024
+BLOCK_ITEMS = 1 << 20
 _CHUNK = 1 << 15
 
 
@@ -155,6 +156,17 @@ def set_table(docs: DataFrame, reps: DataFrame, *, shingle: int, key: str, text:
     return few.mapInArrow(build, "node long, items binary")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    small, large = sorted((len(p), len(q)))
+    if 100 * small < percent * large:  # the sizes rule it out
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # merges the two runs
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (small + large - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs with 100 * intersection >= percent * union."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -162,40 +174,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(stream):
         for batch in stream:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
-                small, large = sorted((len(p), len(q)))
-                shared = 0
-                if 100 * small >= percent * large:  # else the sizes rule it out
-                    shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= percent * (small + large - shared))
+            keep = [_alike(*(np.frombuffer(z.as_buffer(), dtype=U64) for z in row), percent) for row in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v as `confirmed` has them, for pairs (band, members, a, b) with many for a node: a set moves once for each block it meets."""
-    blocks = F.ceil(F.col("members") / SET_BLOCK)
-    block = lambda node: F.pmod(F.xxhash64(node), blocks)
-    dealt = pairs.select(F.struct("band", block("a").alias("i"), block("b").alias("j")).alias("at"), "a", "b").select(F.col("at.band").alias("band"), F.col("at.i").alias("i"), F.col("at.j").alias("j"), "a", "b")
-    nodes = dealt.select(F.col("band").alias("at"), F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = nodes.join(sets, "node").select("at", "k", "l", "node", "items")
-
-    def compare(some: pa.Table, held: pa.Table) -> pa.Table:
-        items = {n: np.frombuffer(x.as_buffer(), dtype=U64) for n, x in zip(held.column("node").to_pylist(), held.column("items"), strict=True)}
-        keep = []
-        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
-            p, q = items[a], items[b]
-            small, large = sorted((len(p), len(q)))
-            shared = len(np.intersect1d(p, q, assume_unique=True)) if 100 * small >= percent * large else 0
-            keep.append(100 * shared >= percent * (small + large - shared))
-        return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
-
-    return dealt.groupBy("band", "i", "j").cogroup(whole.groupBy("at", "k", "l")).applyInArrow(compare, "u long, v long")
-
-
 class _Labels:
     """The least node of each node's component so far."""
 
@@ -222,10 +206,12 @@ def _classes(docs: DataFrame, scratch: Scratch, *, shingle: int, percent: int, h
     nodes = scratch.table(first.select("k1", "k2", F.col("f.k").alias("rk"), F.col("f.h").alias("rh"), F.col("f.r").alias("r"), F.col("f.r").alias("node")), "nodes")
 
     # the row that stands for its class: joined by its number, so that many copies don't meet
-    own = sketch.select("r", "bands", "signature").join(nodes.select("r", "node"), "r")
-    signatures = scratch.table(own.select("node", "bands", "signature"), "own")
-    buckets = signatures.select("node", F.explode("bands").alias("band"))
-    sizes = buckets.groupBy("band").agg(F.min("node").alias("near"), F.max("node").alias("far"), F.count(F.lit(1)).alias("members")).filter("far <> near").select("band", "members")
+    own = sketch.select("r", "n", "bands", "signature").join(nodes.select("r", "node"), "r")
+    signatures = scratch.table(own.select("node", "n", "bands", "signature"), "own")
+    buckets = signatures.select("node", "n", F.explode("bands").alias("band"))
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK + F.sum("n") / BLOCK_ITEMS)  # of all members; members apart have no more
+    sizes = buckets.groupBy("band").agg(F.min("node").alias("near"), F.max("node").alias("far"), F.count(F.lit(1)).alias("members"), blocks.alias("blocks")).filter("far <> near").select("band", "members", "blocks")
+    buckets = buckets.drop("n")
     members = scratch.table(buckets.join(scratch.table(sizes, "sizes"), "band"), "members")
     company = scratch.table(members.groupBy("node").agg(F.sum("members").alias("company")), "company")
     # most company first, then the least id, as one long and the id
@@ -240,11 +226,7 @@ def _classes(docs: DataFrame, scratch: Scratch, *, shingle: int, percent: int, h
         more = links_of(_apart(crowded, labels, scratch))
         if more is not None:
             labels.add(more)
-        large = crowded.filter(F.col("members") > SMALL)
-        nearest = links_of(_alike_in_blocks(large, labels, signatures, rows, links_of.cut, scratch, nearest=True).select("a", "b").distinct())
-        if nearest is not None:
-            labels.add(nearest)
-        rest = links_of.in_blocks(_alike_in_blocks(large, labels, signatures, rows, links_of.cut, scratch, nearest=False))
+        rest = links_of.in_blocks(crowded.filter(F.col("members") > SMALL), labels, rows)
         if rest is not None:
             labels.add(rest)
 
@@ -306,7 +288,7 @@ class _Confirm:
 
     def __init__(self, docs, scratch, signatures, nodes, shingle, percent, hashes, key, text):
         self.docs, self.scratch, self.signatures, self.nodes = docs, scratch, signatures, nodes
-        self.how, self.percent = {"shingle": shingle, "key": key, "text": text}, percent
+        self.how, self.percent, self.hashes = {"shingle": shingle, "key": key, "text": text}, percent, hashes
         p = percent / 100
         self.cut = p - 4 * math.sqrt(p * (1 - p) / hashes)
 
@@ -315,26 +297,42 @@ class _Confirm:
         if pairs.isEmpty():
             return None
         alike = agreement(pairs, self.signatures.select("node", "signature")).filter(F.col("agree") >= self.cut)
-        return self._checked(self.scratch.table(alike.select("a", "b"), "alike"), confirmed)
-
-    def in_blocks(self, alike: DataFrame) -> DataFrame | None:
-        """The same for pairs (band, members, a, b) whose signatures agree, of which a node may have many."""
-        alike = self.scratch.table(alike, "alike")
-        return None if alike.isEmpty() else self._checked(alike, confirmed_in_blocks)
-
-    def _checked(self, alike: DataFrame, check) -> DataFrame:
-        ids = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "node")
-        reps = self.scratch.table(ids.join(self.nodes.select("node", "rk", "rh"), "node"), "reps")
-        sets = self.scratch.table(set_table(self.docs, reps, **self.how), "sets")
-        links = self.scratch.table(check(alike, sets, self.percent), "links")
+        alike = self.scratch.table(alike.select("a", "b"), "alike")
+        sets = self._sets(alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "node"))
+        links = self.scratch.table(confirmed(alike, sets, self.percent), "links")
         self.scratch.drop(sets)
         self.scratch.sweep()
         return links
 
+    def in_blocks(self, large: DataFrame, labels: _Labels, rows: int) -> DataFrame | None:
+        """Links between members of different components of large buckets, those apart from the pivot with all; enough of them to join what is linked."""
+        scratch = self.scratch
+        named = _labelled(large, labels, scratch)
+        lone = named.filter("apart").groupBy("band").agg(F.count(F.lit(1)).alias("lone"))
+        named = scratch.table(named.join(scratch.table(lone, "lone"), "band"), "busy")
+        if named.isEmpty():
+            return None
+        sets = self._sets(named.select("node").distinct())
+        known = named.join(sets, "node")
+        few = F.ceil(F.col("blocks") * F.col("lone") / F.col("members")).cast("long")
+        dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("long")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        carried = ["band", "node", "mine", "apart", "items"]
+        left = known.filter("apart").select(*carried, F.lit(True).alias("asks"), dealt(few).alias("i"), every(F.col("blocks")).alias("j"))
+        right = known.select(*carried, F.lit(False).alias("asks"), dealt(F.col("blocks")).alias("j"), every(few).alias("i"))
+        compare = _block_links(rows, self.hashes, self.cut, self.percent)
+        links = scratch.table(left.unionByName(right).groupBy("band", "i", "j").applyInArrow(compare, "u long, v long"), "links")
+        scratch.drop(sets)
+        scratch.sweep()
+        return links
+
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        reps = self.scratch.table(ids.join(self.nodes.select("node", "rk", "rh"), "node"), "reps")
+        return self.scratch.table(set_table(self.docs, reps, **self.how), "sets")
 
 def _labelled(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
     rows = labels.on(labels.on(crowded, "node", "mine"), "pivot", "its")
-    return scratch.table(rows.select("band", "members", "node", "mine", (F.col("mine") != F.col("its")).alias("apart")), "labelled")
+    return scratch.table(rows.select("band", "members", "blocks", "node", "mine", (F.col("mine") != F.col("its")).alias("apart")), "labelled")
 
 
 def _apart(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
@@ -346,49 +344,33 @@ def _apart(crowded: DataFrame, labels: _Labels, scratch: Scratch) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alike_in_blocks(large: DataFrame, labels: _Labels, signatures: DataFrame, rows: int, cut: float, scratch: Scratch, *, nearest: bool) -> DataFrame:
-    """band, members, a, b: pairs in different components of a large bucket whose signatures agree enough.
-
-    Blocks of members apart from the pivot meet blocks of all members. A pair
-    comes from the first band that it shares only. With `nearest` there is one
-    pair for each member of a block, that of the signature most like its own.
-    """
-    named = _labelled(large, labels, scratch)
-    lone = named.filter("apart").groupBy("band").agg(F.count(F.lit(1)).alias("lone"))
-    named = scratch.table(named.join(scratch.table(lone, "lone"), "band"), "busy")
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK).cast("long") - 1))
-    carried = ["band", "members", "node", "mine", "apart", "signature"]
-    known = named.join(signatures.select("node", "signature"), "node")
-    left = known.filter("apart").select(*carried, F.lit(True).alias("asks"), dealt("lone").alias("i"), every("members").alias("j"))
-    right = known.select(*carried, F.lit(False).alias("asks"), dealt("members").alias("j"), every("lone").alias("i"))
-    met = left.unionByName(right)
+def _block_links(rows: int, hashes: int, cut: float, percent: int):
+    """The function that confirms links in a block; a pair is met in the first band that it shares only."""
 
     def compare(block: pa.Table) -> pa.Table:
-        asks, apart = (np.asarray(block.column(c).to_pylist(), dtype=bool) for c in ("asks", "apart"))
+        asks = np.asarray(block.column("asks").to_pylist(), dtype=bool)
+        apart = np.asarray(block.column("apart").to_pylist(), dtype=bool)
         node, mine = (block.column(c).to_numpy() for c in ("node", "mine"))
-        signs = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
         band = np.int64(block.column("band")[0].as_py()).view(U64)
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
+        u, v = [], []
         if len(x) and len(y):
+            sets = [np.frombuffer(i, dtype=U64) for i in block.column("items").to_pylist()]
+            signs = minima(sets, hashes)
             (at,) = np.flatnonzero(band_keys(signs[x[:1]], rows)[0] == band)[:1]
-            theirs, before = signs[y], at * rows
+            before = at * rows
+            _, team = np.unique(mine, return_inverse=True)
             for i in x.tolist():
-                agree = (theirs == signs[i]).mean(axis=1)
+                agree = (signs[y] == signs[i]).mean(axis=1)
                 # of two members apart, the pair comes once
-                fit = (agree >= cut) & (mine[y] != mine[i])
-                if not nearest:
-                    fit &= ~apart[y] | (node[y] > node[i])
-                ok = np.flatnonzero(fit)
-                if nearest:
-                    ok = ok[np.argmax(agree[ok])][None] if len(ok) else ok
-                elif before and len(ok):
-                    ok = ok[~(theirs[ok, :before] == signs[i, :before]).reshape(len(ok), at, rows).all(axis=2).any(axis=1)]
-                a.append(np.full(len(ok), node[i]))
-                b.append(node[y[ok]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b))
-        same = [pa.array(np.full(len(a), block.column(c)[0].as_py(), dtype=np.int64)) for c in ("band", "members")]
-        return pa.Table.from_arrays([*same, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["band", "members", "a", "b"])
-
-    return met.groupBy("band", "i", "j").applyInArrow(compare, "band long, members long, a long, b long")
+                ok = np.flatnonzero((agree >= cut) & (team[y] != team[i]) & (~apart[y] | (node[y] > node[i])))
+                if before and len(ok):
+                    ok = ok[~(signs[y[ok], :before] == signs[i, :before]).reshape(len(ok), at, rows).all(axis=2).any(axis=1)]
+                for j in y[ok[np.argsort(-agree[ok], kind="stable")]].tolist():
+                    if team[i] != team[j] and _alike(sets[i], sets[j], percent):
+                        u.append(node[i])
+                        v.append(node[j])
+                        team[team == team[j]] = team[i]
+        return pa.Table.from_arrays([pa.array(np.array(c, dtype=np.int64)) for c in (u, v)], ["u", "v"])
+
+    return compare
