@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm import idcoder, quality, queries
-from nearfield.llm.decontaminate import leaks
+from nearfield.llm.decontaminate import decontaminated, leaks
 from nearfield.llm.graph import components
 from nearfield.llm.common import Scratch
 from nearfield.llm.minhash import band_rows, minima, near_duplicates
@@ -127,6 +127,20 @@ def test_other_values_same_question(spark):
     assert got[1]["slots"] == 1.0 and got[1]["coverage"] > 0.9
     loose = leaks(spark.createDataFrame([(0, mixed)], "doc_id long, text string"), b).first()
     assert loose is None or loose["slots"] < 1.0
+    two = item.replace("Alice bought", "Zoe bought").replace("Alice gave", "Yan gave").replace("12", "99").replace("3,000", "41")
+    one = item.replace("Alice", "Zoe").replace("12", "55").replace("3,000", "55").replace("Bob", "Yan")
+    later = other.replace("apples for", "apples that were ripe for")
+    docs = spark.createDataFrame(list(enumerate([two, one, later])), "doc_id long, text string")
+    assert {r["doc_id"]: r["slots"] for r in leaks(docs, b).collect()} == {2: 1.0}
+
+
+def test_rows_without_an_id_and_texts_of_one_id(spark):
+    first, second = "one plain question about the colour of the evening sky over town", "quite another question about boats that cross the wide river at night"
+    b = spark.createDataFrame([(None, first), (1, first), (1, second)], "item_id long, text string")
+    rows = [(None, first), (None, "clean words that no item has"), (5, "clean words of another sort"), (5, f"x {second} y"), (6, first.split("the")[0]), (6, first.split("colour")[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["item_id"]) for r in leaks(docs, b).collect()), key=repr) == sorted([(None, None), (None, 1), (5, 1)], key=repr)
+    assert {tuple(r) for r in decontaminated(docs, b).collect()} == {rows[1], rows[2], rows[4], rows[5]}
 
 
 def test_items_dense_in_values_and_short_items(spark):
