@@ -120,7 +120,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_filter_urls": OP2_SQL}
+    return {"op2_filter_urls": OP2_SQL, "op9_warc": OP9_SQL, "op10_minhash": OP10_SQL}
 
 
 OP2_SQL = r"""
@@ -140,3 +140,29 @@ fits as (
     on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host)) and starts_with(p.path, r.rule_path))
 select page_id, host, path, pattern as rule, coalesce(verdict, 'allow') as verdict from fits where n = 1
 """
+
+#: the digest is turned from hex to bits, and five bits at a time to base32
+OP9_SQL = r"""
+with h as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+b as (select page_id, body, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', hex[i])]), '') as bits from h),
+f as (select page_id, octet_length(encode(body)) as size, min(page_id) over (partition by body) as first,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(bits, 5 * i + 1, 5))::int, 1)), '') as digest from b)
+select page_id, size::bigint as payload_bytes, digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f
+"""
+
+#: all pairs that share a shingle, then all that is reachable
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+n as (select doc_id, len(s)::bigint as n from s),
+u as materialized (select doc_id, hash(g) as g from (select doc_id, unnest(s) as g from s)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as materialized (select a, b from e union all select b, a from e),
+r(doc_id, c) as (select doc_id, doc_id from n union select t.b, r.c from r join both_ways t on r.doc_id = t.a),
+m as (select doc_id, min(c) as c from r group by doc_id)
+select doc_id, n as n_shingles, c as component_id, doc_id = c as kept from n join m using (doc_id)
+"""
