@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     run_dir = (["--run-dir"], {"required": True, "help": "folder of the feature store"})
     k = (["-k"], {"type": int, "default": 5})
     feature = (["--feature"], {"choices": ["hsv", "phash", "embedding"], "default": "embedding"})
-    asks = [run_dir, catalog, (["--image-id"], {"type": int, "action": "append", "required": True}), k, (["--features"], {"default": ""}), (["--backend"], {"choices": ["exact", "candidates", "index"], "default": "exact"}), (["--k-candidates"], {"type": int, "default": query.K_CANDIDATES})]
+    asks = [run_dir, catalog, (["--image-id"], {"type": int, "action": "append", "default": [], "help": "an image of the store; may repeat"}), (["--image-path"], {"action": "append", "default": [], "help": "an image file, in the store or not; may repeat"}), (["--weights"], {"default": "", "help": "like embedding=0.5;hsv=0.3;phash=0.2"}), k, (["--features"], {"default": ""}), (["--backend"], {"choices": ["exact", "candidates", "index"], "default": "exact"}), (["--k-candidates"], {"type": int, "default": query.K_CANDIDATES})]
     add("list-samples", list_samples, "files of a folder", root, (["--ext"], {"default": "jpg;jpeg;png"}), (["--limit"], {"type": int}))
     add("ingest", ingest, "add new images to the catalog", root, catalog)
     add("make-pilot", make_pilot, "draw ids", catalog, (["-n"], {"type": int, "default": 1000}), (["--seed"], {"type": int, "default": 42}), (["--out"], {"required": True}))
@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
         add(f"{name}-on-samples", on_samples(name), f"neighbours by {name}", root, k)
     add("map-embeddings", map_embeddings, "a map of features", run_dir, feature, (["--dims"], {"type": int, "choices": [2, 3], "default": 2}), (["--sample"], {"type": int}), (["--out"], {"required": True}))
     add("query", ask, "the best matches of one or more images", *asks)
-    add("query-loop", loop, "queries from standard input, ids separated by ;", *asks[:2], *asks[3:])
+    add("query-loop", loop, "queries from standard input, ids or paths separated by ;", *asks[:2], *asks[4:])
     add("profile-query", profile_query, "where a query's time goes", *asks)
     return p
 
@@ -116,14 +116,28 @@ def _session(spark, a) -> query.Session:
     return query.Session(store, index, **how)
 
 
-def _answer(spark, a, s: query.Session, ids: list[int]) -> list:
-    vectors = evaluate.query_vectors(s.store, ids)
-    found = s.ask([vectors[i] for i in ids], a.k)
+def _weights(text: str) -> dict[str, float] | None:
+    return {n.strip(): float(w) for n, _, w in (x.partition("=") for x in _names(text) or ())} or None
+
+
+def _answer(spark, a, s: query.Session, ids: list[int], paths: list[str]) -> list:
+    wanted = s.how.get("features")
+    vectors = evaluate.query_vectors(s.store, ids) if ids else {}
+    asked = [vectors[i] for i in ids] + query.from_images(spark, paths, wanted or list(s.store))
+    if not asked:
+        raise ValueError("give an --image-id or an --image-path")
+    shared = set.intersection(*(set(q) for q in asked))
+    found = s.ask([{n: v for n, v in q.items() if n in shared} for q in asked], a.k, weights=_weights(a.weights))
     return resolved(found, Catalog(spark, a.catalog).rows()).orderBy("rank").collect()
 
 
 def ask(spark, a) -> int:
-    for r in _answer(spark, a, _session(spark, a), a.image_id):
+    try:
+        rows = _answer(spark, a, _session(spark, a), a.image_id, a.image_path)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    for r in rows:
         print(r["rank"], r["path"], round(r["score"], 6))
     return 0
 
@@ -134,8 +148,9 @@ def loop(spark, a, lines=None) -> int:
         if line.strip() in ("exit", "quit"):
             break
         try:
-            ids = [int(x) for x in _names(line) or []]
-            for r in _answer(spark, a, s, ids) if ids else []:
+            asked = _names(line) or []
+            ids, paths = [int(x) for x in asked if x.isdecimal()], [x for x in asked if not x.isdecimal()]
+            for r in _answer(spark, a, s, ids, paths) if asked else []:
                 print(r["rank"], r["path"], round(r["score"], 6))
         except ValueError as e:
             print(e, file=sys.stderr)
@@ -143,7 +158,7 @@ def loop(spark, a, lines=None) -> int:
 
 
 def profile_query(spark, a) -> int:
-    _, stats = evaluate.profile(lambda: _answer(spark, a, _session(spark, a), a.image_id))
+    _, stats = evaluate.profile(lambda: _answer(spark, a, _session(spark, a), a.image_id, a.image_path))
     evaluate.hot_spots(evaluate.profile_rows(spark, stats, "nearfield")).show(truncate=False)
     return 0
 

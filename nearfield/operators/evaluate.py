@@ -68,6 +68,12 @@ def draw_ids(ids: Sequence[int], n: int, seed: int = 42) -> list[int]:
 def query_vectors(store: Q.Store, ids: Sequence[int]) -> dict[int, Q.Query]:
     """Each id's vectors in every feature; an id that one lacks is an error. For a few ids."""
     out: dict[int, Q.Query] = {i: {} for i in ids}
+    if isinstance(store, Q.Wide):  # one scan has them all
+        rows = {r["image_id"]: r for r in store.frame.filter(F.col("image_id").isin(list(ids))).collect()}
+        lost = sorted(set(ids) - set(rows))
+        if lost:
+            raise ValueError(f"the store lacks the ids {lost}")
+        return {i: {name: list(rows[i][name]) for name in store} for i in ids}
     for name, table in store.items():
         found = {r["image_id"]: list(r["vector"]) for r in table.filter(F.col("image_id").isin(list(ids))).collect()}
         lost = sorted(set(ids) - set(found))

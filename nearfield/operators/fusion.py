@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
@@ -51,17 +51,18 @@ def informative(rows: DataFrame, epsilon: float = CONSTANT, strict: bool = False
     return kept.filter("_odd = 0") if strict else kept
 
 
-def fuse(distances: DataFrame, weights: dict[str, float] | None = None, *, strict: bool = False) -> DataFrame:
+def fuse(distances: DataFrame, weights: dict[str, float] | None = None, *, strict: bool = False, features: set[str] | None = None) -> DataFrame:
     """query_id, image_id, score: the (weighted) mean of the informative features; 0 without any.
 
-    Weights are renormalised over the features that are left.
+    Weights are renormalised over the features that are left. Give the names of
+    the features if they are known; else weights cost a job that reads them.
     """
     rows = normalised(distances)
     kept = informative(rows, strict=strict)
     if weights is None:
         part = kept.groupBy("query_id", "image_id").agg(F.avg("norm").alias("_s"))
     else:
-        names = {r[0] for r in distances.select("feature").distinct().collect()}  # a few feature names
+        names = features or {r[0] for r in distances.select("feature").distinct().collect()}  # a few feature names
         check_weights(weights, names)
         w = F.coalesce(*[F.when(F.col("feature") == n, F.lit(float(x))) for n, x in weights.items()])
         kept = kept.withColumn("_w", w)
@@ -71,9 +72,42 @@ def fuse(distances: DataFrame, weights: dict[str, float] | None = None, *, stric
     return spine.join(part, ["query_id", "image_id"], "left").select("query_id", "image_id", F.coalesce("_s", F.lit(0.0)).alias("score"))
 
 
-def fuse_queries(scores: DataFrame) -> DataFrame:
-    """image_id, score: the mean over queries; every query must have scored the same images."""
-    n = scores.select("query_id").distinct().count()
+def fuse_wide(rows: DataFrame, columns: list[dict[str, str]], weights: dict[str, float] | None = None, *, strict: bool = False, few: bool = False, epsilon: float = CONSTANT) -> DataFrame:
+    """image_id and a score for each query, s0, s1, ...: what `fuse` gives, for rows that have a column for each distance.
+
+    columns: for each query a dict from feature to its distance column. The
+    ranges are one row, the aggregate of all rows, joined to each; with `few`
+    (rows that a limit bounds, in one partition) a window over them, so that
+    what lies before is read once.
+    """
+    names = sorted({c for query in columns for c in query.values()})
+    finite = lambda c: D.is_finite(F.col(c))
+    ranges = [x for c in names for x in ((F.min, F.when(finite(c), F.col(c)), f"{c}_low"), (F.max, F.when(finite(c), F.col(c)), f"{c}_high"), (F.count_if, ~finite(c), f"{c}_odd"))]
+    if few:
+        rows = rows.select("*", *[f(x).over(Window.partitionBy(F.lit(0))).alias(n) for f, x, n in ranges])
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(*[f(x).alias(n) for f, x, n in ranges])))  # one row
+    norms, kept = {}, {}
+    for c in names:
+        low, width, odd = F.col(f"{c}_low"), F.col(f"{c}_high") - F.col(f"{c}_low"), F.col(f"{c}_odd") > 0
+        norms[c] = F.when(~finite(c), 1.0).when(width > 0, (F.col(c) - low) / width).otherwise(0.0)
+        reach = F.when((F.coalesce(width, F.lit(0.0)) > 0) | (odd & low.isNotNull()), 1.0).otherwise(0.0)
+        kept[c] = (reach >= epsilon) & ~odd if strict else reach >= epsilon
+
+    def score(query: dict[str, str]) -> Column:
+        share = check_weights(weights, set(query)) if weights else dict.fromkeys(query, 1.0)
+        part = lambda f: sum((F.when(kept[c], f(n, c)).otherwise(0.0) for n, c in sorted(query.items())), F.lit(0.0))
+        total = part(lambda n, c: F.lit(float(share[n])))
+        left = F.array_max(F.array(*[kept[c] for c in query.values()]))
+        lost = F.raise_error(F.lit("all weights of the features left are 0")).cast("double")
+        return F.when(total > 0, part(lambda n, c: F.lit(float(share[n])) * norms[c]) / total).when(left, lost).otherwise(0.0)
+
+    return rows.select("image_id", *[score(q).alias(f"s{i}") for i, q in enumerate(columns)])
+
+
+def fuse_queries(scores: DataFrame, n: int | None = None) -> DataFrame:
+    """image_id, score: the mean over n queries (counted, if not told); each must have scored the same images."""
+    n = n or scores.select("query_id").distinct().count()
     mean = scores.groupBy("image_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("_n"))
     missing = F.raise_error(F.lit("queries scored different images")).cast("double")
     return mean.select("image_id", F.when(F.col("_n") == n, F.col("score")).otherwise(missing).alias("score"))

@@ -33,17 +33,20 @@ def assert_unique(rows: DataFrame, *keys: str) -> None:
         raise ValueError(f"{', '.join(keys)} repeats: {worst.asDict()}")
 
 
-def all_distances(features: DataFrame, query: Sequence[float], metric: str | D.Distance = "cosine") -> DataFrame:
-    """image_id, distance of every row; what is not finite is +infinity.
+def distance_to(vector: Column, query: Sequence[float], metric: str | D.Distance = "cosine") -> Column:
+    """The distance of a vector column from a literal query; what is not finite is +infinity.
 
-    The query is a literal, so this is a projection of one scan. A vector of
-    another length than the query's stops the job.
+    A vector of another length than the query's stops the job.
     """
     values = D.check_query(query, nonzero=metric in ("cosine", "angular"))
-    v = D.doubles(F.col("vector"))
-    d = D.folded(D.metric(metric)(D.vector(values), v))
-    wrong = F.raise_error(F.format_string("image %s has %d values, the query %d", F.col("image_id").cast("string"), F.size("vector"), F.lit(len(values))))
-    return features.select("image_id", F.when(F.size("vector") == len(values), d).otherwise(wrong.cast("double")).alias("distance"))
+    d = D.folded(D.metric(metric)(D.vector(values), D.doubles(vector)))
+    wrong = F.raise_error(F.format_string("image %s has %d values, the query %d", F.col("image_id").cast("string"), F.size(vector), F.lit(len(values))))
+    return F.when(F.size(vector) == len(values), d).otherwise(wrong.cast("double"))
+
+
+def all_distances(features: DataFrame, query: Sequence[float], metric: str | D.Distance = "cosine") -> DataFrame:
+    """image_id, distance of every row: a projection of one scan."""
+    return features.select("image_id", distance_to(F.col("vector"), query, metric).alias("distance"))
 
 
 def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), k: int | None = None) -> DataFrame:

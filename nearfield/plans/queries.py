@@ -37,7 +37,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def store(spark: SparkSession, sf: str) -> query.Store:
     f = features(spark, sf)
-    return {n: f.select("image_id", F.col(c).alias("vector")) for n, c in (("embedding", "e"), ("hist", "h"), ("bits", "b"))}
+    return query.Wide(f.select("image_id", F.col("e").alias("embedding"), F.col("h").alias("hist"), F.col("b").alias("bits")), list(METRICS))
 
 
 def vectors(s: query.Store, image_id: int) -> query.Query:
@@ -79,14 +79,15 @@ def fused_weighted_topk(spark, sf):
 
 def fused_with_constant_feature(spark, sf):
     s = store(spark, sf)
-    s["constant"] = s["embedding"].select("image_id", F.array(F.lit(1.0)).alias("vector"))
+    s = query.Wide(s.frame.withColumn("constant", F.array(F.lit(1.0))), [*s, "constant"])
     q = vectors({n: s[n] for n in METRICS}, QUERY) | {"constant": [1.0]}
     return six(query.single_query(s, q, K, metrics=METRICS | {"constant": "euclidean"}), "score")
 
 
 def multi_query_mean(spark, sf):
     s = store(spark, sf)
-    return six(query.multi_query(s, [vectors(s, QUERY), vectors(s, SECOND)], K, metrics=METRICS), "score")
+    both = evaluate.query_vectors(s, [QUERY, SECOND])
+    return six(query.multi_query(s, [both[QUERY], both[SECOND]], K, metrics=METRICS), "score")
 
 
 def candidate_rerank(spark, sf):
@@ -96,7 +97,8 @@ def candidate_rerank(spark, sf):
 
 def multi_query_candidate(spark, sf):
     s = store(spark, sf)
-    return six(query.multi_query(s, [vectors(s, QUERY), vectors(s, SECOND)], K, backend="candidates", k_candidates=CANDIDATES, metrics=METRICS), "score")
+    both = evaluate.query_vectors(s, [QUERY, SECOND])
+    return six(query.multi_query(s, [both[QUERY], both[SECOND]], K, backend="candidates", k_candidates=CANDIDATES, metrics=METRICS), "score")
 
 
 def _knn(metric: str, include_self: bool, feature: str = "embedding") -> Callable:
