@@ -132,12 +132,7 @@ def _answer(spark, a, s: query.Session, ids: list[int], paths: list[str]) -> lis
 
 
 def ask(spark, a) -> int:
-    try:
-        rows = _answer(spark, a, _session(spark, a), a.image_id, a.image_path)
-    except ValueError as e:
-        print(e, file=sys.stderr)
-        return 1
-    for r in rows:
+    for r in _answer(spark, a, _session(spark, a), a.image_id, a.image_path):
         print(r["rank"], r["path"], round(r["score"], 6))
     return 0
 

@@ -18,8 +18,9 @@ INFINITY = float("inf")
 
 
 def vector(values: Sequence[float]) -> Column:
-    """A literal vector; the optimizer folds it into one constant."""
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A literal vector; the optimizer folds it into one constant. It goes to the JVM as one text."""
+    literal = lambda v: f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+    return F.expr(f"array({', '.join(literal(float(v)) for v in values)})")
 
 
 def doubles(v: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
@@ -72,37 +72,33 @@ def fuse(distances: DataFrame, weights: dict[str, float] | None = None, *, stric
     return spine.join(part, ["query_id", "image_id"], "left").select("query_id", "image_id", F.coalesce("_s", F.lit(0.0)).alias("score"))
 
 
-def fuse_wide(rows: DataFrame, columns: list[dict[str, str]], weights: dict[str, float] | None = None, *, strict: bool = False, few: bool = False, epsilon: float = CONSTANT) -> DataFrame:
+def fuse_wide(rows: DataFrame, columns: list[dict[str, str]], weights: dict[str, float] | None = None, *, strict: bool = False, few: bool = False) -> DataFrame:
     """image_id and a score for each query, s0, s1, ...: what `fuse` gives, for rows that have a column for each distance.
 
     columns: for each query a dict from feature to its distance column. The
     ranges are one row, the aggregate of all rows, joined to each; with `few`
     (rows that a limit bounds, in one partition) a window over them, so that
-    what lies before is read once.
+    what lies before is read once. Expressions are SQL texts: one call to the
+    JVM each, not one for each operator.
     """
     names = sorted({c for query in columns for c in query.values()})
-    finite = lambda c: D.is_finite(F.col(c))
-    ranges = [x for c in names for x in ((F.min, F.when(finite(c), F.col(c)), f"{c}_low"), (F.max, F.when(finite(c), F.col(c)), f"{c}_high"), (F.count_if, ~finite(c), f"{c}_odd"))]
+    finite = {c: f"coalesce(not isnan({c}) and abs({c}) < double('infinity'), false)" for c in names}
+    ranges = [x for c, ok in finite.items() for x in ((f"min(case when {ok} then {c} end)", f"{c}_low"), (f"max(case when {ok} then {c} end)", f"{c}_high"), (f"count_if(not {ok})", f"{c}_odd"))]
     if few:
-        rows = rows.select("*", *[f(x).over(Window.partitionBy(F.lit(0))).alias(n) for f, x, n in ranges])
+        rows = rows.selectExpr("*", *[f"{x} over (partition by 0) as {n}" for x, n in ranges])
     else:
-        rows = rows.crossJoin(F.broadcast(rows.agg(*[f(x).alias(n) for f, x, n in ranges])))  # one row
-    norms, kept = {}, {}
-    for c in names:
-        low, width, odd = F.col(f"{c}_low"), F.col(f"{c}_high") - F.col(f"{c}_low"), F.col(f"{c}_odd") > 0
-        norms[c] = F.when(~finite(c), 1.0).when(width > 0, (F.col(c) - low) / width).otherwise(0.0)
-        reach = F.when((F.coalesce(width, F.lit(0.0)) > 0) | (odd & low.isNotNull()), 1.0).otherwise(0.0)
-        kept[c] = (reach >= epsilon) & ~odd if strict else reach >= epsilon
-
-    def score(query: dict[str, str]) -> Column:
+        rows = rows.crossJoin(F.broadcast(rows.selectExpr(*[f"{x} as {n}" for x, n in ranges])))  # one row
+    norm = {c: f"case when not {ok} then 1.0D when {c}_high > {c}_low then ({c} - {c}_low) / ({c}_high - {c}_low) else 0.0D end" for c, ok in finite.items()}
+    kept = {c: f"(coalesce({c}_high > {c}_low, false) or ({c}_odd > 0 and {c}_low is not null))" + (f" and {c}_odd = 0" if strict else "") for c in names}
+
+    def score(query: dict[str, str]) -> str:
         share = check_weights(weights, set(query)) if weights else dict.fromkeys(query, 1.0)
-        part = lambda f: sum((F.when(kept[c], f(n, c)).otherwise(0.0) for n, c in sorted(query.items())), F.lit(0.0))
-        total = part(lambda n, c: F.lit(float(share[n])))
-        left = F.array_max(F.array(*[kept[c] for c in query.values()]))
-        lost = F.raise_error(F.lit("all weights of the features left are 0")).cast("double")
-        return F.when(total > 0, part(lambda n, c: F.lit(float(share[n])) * norms[c]) / total).when(left, lost).otherwise(0.0)
+        total = " + ".join(f"case when {kept[c]} then {float(share[n])!r}D else 0.0D end" for n, c in sorted(query.items()))
+        value = " + ".join(f"case when {kept[c]} then {float(share[n])!r}D * ({norm[c]}) else 0.0D end" for n, c in sorted(query.items()))
+        left = " or ".join(f"({kept[c]})" for c in query.values())
+        return f"case when {total} > 0 then ({value}) / ({total}) when {left} then cast(raise_error('all weights of the features left are 0') as double) else 0.0D end"
 
-    return rows.select("image_id", *[score(q).alias(f"s{i}") for i, q in enumerate(columns)])
+    return rows.selectExpr("image_id", *[f"{score(q)} as s{i}" for i, q in enumerate(columns)])
 
 
 def fuse_queries(scores: DataFrame, n: int | None = None) -> DataFrame:

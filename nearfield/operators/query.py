@@ -97,12 +97,13 @@ def wide_distances(store: Store, queries: Sequence[Query], features: Sequence[st
     error, or, with ids, left out. `more` names a feature that the first query
     needs a column `_near` of.
     """
+    wide = isinstance(store, Wide)
     used: list[dict[str, str]] = [{} for _ in queries]
     wanted: dict[str, list[Column]] = {}
     for i, q in enumerate(queries):
         for j, name in enumerate(select_features(list(store), features, q)):
             try:
-                d = search.distance_to(F.col("_v"), q[name], _metric(name, metrics))
+                d = search.distance_to(F.col(name if wide else "vector"), q[name], _metric(name, metrics))
             except ValueError as e:
                 if ids is not None or more:
                     raise
@@ -113,14 +114,11 @@ def wide_distances(store: Store, queries: Sequence[Query], features: Sequence[st
         if not used[i]:
             raise ValueError("no feature could be compared")
     if more:
-        wanted.setdefault(more, []).append(search.distance_to(F.col("_v"), queries[0][more], _metric(more, metrics)).alias("_near"))
-    if isinstance(store, Wide):
+        wanted.setdefault(more, []).append(search.distance_to(F.col(more if wide else "vector"), queries[0][more], _metric(more, metrics)).alias("_near"))
+    if wide:
         rows = store.frame if ids is None else store.frame.join(ids.select("image_id").distinct(), "image_id", "left_semi")
-        # one feature after another; a distance replaces nothing, vectors go in the end
-        for name, columns in wanted.items():
-            rows = rows.withColumn("_v", F.col(name)).select("*", *columns).drop("_v")
-        return rows.select("image_id", *[c for q in used for c in q.values()], *(["_near"] if more else [])), used
-    parts = [store[n].withColumn("_v", F.col("vector")).select("image_id", *columns) for n, columns in wanted.items()]
+        return rows.select("image_id", *[c for columns in wanted.values() for c in columns]), used
+    parts = [store[n].select("image_id", *columns) for n, columns in wanted.items()]
     if ids is not None:
         few = ids.select("image_id").distinct()
         return reduce(lambda a, b: a.join(b, "image_id"), [p.join(few, "image_id", "left_semi") for p in parts]), used

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from nearfield import cli
 from nearfield.functions import distances as D
-from nearfield.operators import evaluate, project
+from nearfield.functions import images as I
+from nearfield.operators import evaluate, project, query
 from nearfield.operators.catalog import Catalog
 from nearfield.schemas import COMPARISON
-from nearfield.sources import files
+from nearfield.sources import files, shards
 from nearfield.streaming import ingest
 from tests.test_sources import folder, png  # noqa: F401
 
@@ -123,3 +124,43 @@ def test_streaming(spark, folder, tmp_path):  # noqa: F811
 def test_nan_never_wins(spark):
     v = spark.range(1).select(D.cosine(D.vector([1, float("nan")]), D.vector([1, 2])).alias("d")).first()["d"]
     assert v != v
+
+
+def test_query_by_image_files(spark, folder, tmp_path, capsys):  # noqa: F811
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    catalog, store, asked = tmp_path / "catalog", tmp_path / "run", tmp_path / "asked"
+    run("ingest", "--root", folder, "--catalog", catalog)
+    for f in ("hsv", "phash", "embedding"):
+        run("extract", "--root", folder, "--catalog", catalog, "--run-dir", store, "--feature", f)
+    known = Catalog(spark, str(catalog)).path_of(1)
+    asked.mkdir()
+    copy = asked / ("q." + known.rsplit(".", 1)[-1])  # a file that the store doesn't have
+    copy.write_bytes(open(known, "rb").read())
+    (asked / "bad.png").write_bytes(b"not an image")
+    capsys.readouterr()
+    where = ("query", "--run-dir", store, "--catalog", catalog, "-k", 2)
+    assert run(*where, "--image-path", copy, "--weights", "embedding=0.5;hsv=0.3;phash=0.2") == 0
+    assert capsys.readouterr().out.startswith(f"1 {known} 0.0")
+    assert run(*where, "--image-path", copy, "--image-id", 1, "--backend", "candidates") == 0
+    assert capsys.readouterr().out.startswith(f"1 {known} 0.0")
+    for bad in (asked / "bad.png", asked / "none.png"):
+        with pytest.raises(ValueError, match="cannot load"):
+            run(*where, "--image-path", bad)
+    with pytest.raises(ValueError, match="give an"):
+        run(*where)
+    s = query.Session(shards.FeatureStore(spark, str(store)).store()).store
+    assert query.by_images(spark, s, [str(copy)], 1).first()["image_id"] == 1
+    assert query.by_images(spark, s, [str(copy), known], 1).first()["image_id"] == 1
+
+    def broken(image):
+        raise RuntimeError("no")
+
+    with pytest.warns(UserWarning, match="hsv of .* is left out"):
+        got = query.from_images(spark, [str(copy)], extractors={"hsv": broken, "phash": I.extractors()["phash"]})
+    assert set(got[0]) == {"phash"}
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="could be extracted"):
+        query.from_images(spark, [str(copy)], extractors={"hsv": broken})
+    with pytest.warns(UserWarning, match="no extractor"), pytest.raises(ValueError):
+        query.from_images(spark, [str(copy)], ["other"])
+    with pytest.raises(ValueError, match="no candidate id"):
+        query.scores(s, got[0], ids=spark.createDataFrame([(999,)], "image_id long"))
