@@ -329,6 +329,37 @@ def test_altered_and_hot_passages(spark):
     assert passages(a, a + np.uint32(1000), [0]) == [] and passages(a, a, [0]) == [(0, 200, 0, 200, 1.0)]
 
 
+def test_every_place_and_wide_gaps(spark):
+    r = random.Random(8)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, close = new(70), new(100)
+    near = close.copy()
+    near[47], near[52] = "one", "two"  # 81 % of the shingles are left, in stretches of under 50 words
+    head, tail = passage[:30], passage[40:]
+    docs = [(0, new(20) + head + new(9) + passage + new(20)), (1, new(40) + passage + new(5) + passage + new(30)), (2, new(9) + close + new(9)), (3, new(7) + near + new(7)), (4, new(50) + tail + new(50))]
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    spans = {(g["doc_id"], g["source_doc_id"], g["start_word"], g["end_word"]) for g in got}
+    assert spans == {(1, 0, 40, 110), (1, 0, 115, 185), (3, 2, 7, 107)}
+
+
+def test_passages_of_altered_texts():
+    """Of texts with words changed, put in and left out, what still has 50 words at a similarity of 0.8 is covered."""
+    r, found, whole = np.random.default_rng(6), 0, 0
+    for _ in range(120):
+        a = r.integers(0, 2**32, 400).astype(np.uint32)
+        b = a.copy()
+        for at in range(int(r.integers(0, 30)), len(b) - 30, 60):
+            kind = r.integers(3)
+            b = np.concatenate([b[:at], r.integers(0, 2**32, int(kind < 2)).astype(np.uint32), b[at + int(kind != 1) :]])
+        x = np.concatenate([r.integers(0, 2**32, 50).astype(np.uint32), b])
+        covered = np.zeros(len(x), dtype=bool)
+        for x0, x1, *_ in passages(a, x):
+            covered[x0:x1] = True
+        found, whole = found + int(covered[50:].sum()), whole + len(b)
+        assert not covered[:46].any()
+    assert found >= 0.97 * whole
+
+
 # 8 rollups
 
 
