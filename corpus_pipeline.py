@@ -58,7 +58,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL can't express the classifier, the hashes or the coder; tests hold each stage against a brute-force version.
+#: SQL can't express the classifier, the templates or the coder. Tests hold the operators behind the stages against brute
+#: force, held-out labels or the library's ids, and the stages to their columns and edge cases.
 ORACLE_SQL = None
 
 
