@@ -360,6 +360,26 @@ def test_passages_of_altered_texts():
     assert found >= 0.97 * whole
 
 
+def test_candidates_of_altered_passages(spark):
+    """Of pairs that share a passage with a word in 50 changed, at least 95 in 100 are found."""
+    r, docs, want = random.Random(21), [], set()
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    for i in range(300):
+        length = r.choice([50, 60, 75, 100, 150])
+        passage = new(length)
+        altered = passage.copy()
+        for at in r.sample(range(length), length // 50):
+            altered[at] = new(1)[0]
+        pair = [new(r.randrange(20, 200)) + p + new(r.randrange(20, 200)) for p in (passage, altered)]
+        docs += [(2 * i + k, " ".join(w)) for k, w in enumerate(pair)]
+        number = {w: n for n, w in enumerate({*pair[0], *pair[1]})}
+        a, b = (np.array([number[w] for w in p], dtype=np.uint32) for p in pair)
+        if passages(a, b):
+            want.add((2 * i, 2 * i + 1))
+    got = {(x["source_doc_id"], x["doc_id"]) for x in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= want and len(want) > 250 and len(got) >= 0.95 * len(want)
+
+
 # 8 rollups
 
 
