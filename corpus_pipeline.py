@@ -58,8 +58,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL can't express the classifier, the templates or the coder. Tests hold the operators behind the stages against brute
-#: force, held-out labels or the library's ids, and the stages to their columns and edge cases.
+#: SQL can't express the classifier, the templates or the coder. tests/llm/test_pipeline.py holds the stages against plain
+#: Python: all but decontamination (verbatim items only) and the mix (copies near the rate, words near the target) exactly.
 ORACLE_SQL = None
 
 
