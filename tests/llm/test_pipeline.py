@@ -11,10 +11,9 @@ import pytest
 import corpus_pipeline
 from nearfield.llm import quality
 from nearfield.llm.common import read_table
-from nearfield.llm.mixing import source_targets
 from nearfield.llm.queries import tokenizer_path
 
-from .test_results import WORD, brute, shingle_set
+from .test_results import WORD, brute, plain_targets, shingle_set
 
 SF = "/root/testdata/sf0.01"
 
@@ -119,7 +118,7 @@ def test_mix(tables):
     sizes, by = Counter(), {r["doc_id"]: r for r in rows}
     for r in rows:
         sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
-    target, copies, taken = source_targets(dict(sizes)), Counter(), Counter()
+    target, copies, taken = plain_targets(dict(sizes)), Counter(), Counter()
     for r in tables["mix"]:
         assert r == by[r["doc_id"]]
         copies[r["doc_id"]] += 1

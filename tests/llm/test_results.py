@@ -18,7 +18,7 @@ from nearfield.llm.decontaminate import decontaminated, leaks
 from nearfield.llm.graph import components
 from nearfield.llm.common import Scratch
 from nearfield.llm.minhash import band_rows, minima, near_duplicates
-from nearfield.llm.mixing import mix_copies, newton_rates, source_targets
+from nearfield.llm.mixing import balanced_rates, mix_copies, source_targets
 from nearfield.llm.substring import compact_windows, passages, repeated_passages
 from nearfield.llm.token_rollup import Rollup, count_tokens, revised, signed
 from nearfield.llm.tokens import PieceEncoder
@@ -43,18 +43,42 @@ def documents(spark):
 # 1 mixing
 
 
-@given(st.dictionaries(st.one_of(st.none(), st.text(max_size=3)), st.integers(0, 10_000), max_size=12))
-@settings(max_examples=60, deadline=None)
-def test_targets(sizes):
-    t = source_targets(sizes)
-    assert set(t) == set(sizes) and all(t[s] <= 2 * sizes[s] + 1e-6 for s in sizes)
-    assert sum(t.values()) == pytest.approx(1.5 * sum(sizes.values()))
+def plain_targets(sizes):
+    """Targets of source_targets by halving: the level at which weights, stopped at twice the sizes, give 1.5 times all words."""
     order = sorted(sizes, key=lambda v: (v is None, v or ""))
-    level = [t[s] / (5, 2, 1)[i % 3] for i, s in enumerate(order) if t[s] < 2 * sizes[s] - 1e-6]
-    assert not level or max(level) == pytest.approx(min(level))
-
-
-def test_newton_meets_two_margins():
+    weight = {v: (5, 2, 1)[i % 3] for i, v in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(2 * sizes[v], level * weight[v]) for v in sizes) < 1.5 * sum(sizes.values()):
+            low = level
+        else:
+            high = level
+    return {v: min(2.0 * sizes[v], high * weight[v]) for v in sizes}
+
+
+def test_targets(spark):
+    r = random.Random(3)
+    many = {chr(r.randint(33, 0x1F600)) + str(i): r.randint(0, 10_000) for i in range(500) if not 0xD800 <= i < 0xE000}
+    many = {k: v for k, v in many.items() if not 0xD800 <= ord(k[0]) < 0xE000}
+    cases = [{}, {None: 7}, {"a": 0, None: 0}, {"a": 5, "b": 5, "c": 5}, {"": 1, "é": 10_000, "z": 3, "Z": 9, None: 400}, {"\U0001f600": 50, "\uffee": 60, "b": 1000}, many]
+    for sizes in cases:
+        table = spark.createDataFrame(list(sizes.items()), "value string, words long")
+        got = {row["value"]: row["target"] for row in source_targets(table).collect()}
+        assert got == pytest.approx(plain_targets(sizes), rel=1e-9, abs=1e-9)
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+        assert all(got[v] <= 2 * n for v, n in sizes.items())
+
+
+def rates_of(spark, cells, targets):
+    width = len(targets)
+    names = [f"c{i}" for i in range(width)]
+    table = spark.createDataFrame([(*c, n) for c, n in cells], ", ".join([*(f"{c} string" for c in names), "n long"]))
+    goals = [spark.createDataFrame(list(t.items()), "value string, target double") for t in targets]
+    return {tuple(r[:width]): r["rate"] for r in balanced_rates(table, names, goals, 2.0).collect()}
+
+
+def test_newton_meets_two_margins(spark):
     r = random.Random(5)
     cells = [((a, b), r.randint(10, 1000)) for a in "abcd" for b in "xyz"]
     want = {c: r.uniform(0.3, 1.8) for c, _ in cells}
@@ -62,12 +86,25 @@ def test_newton_meets_two_margins():
     for c, n in cells:
         for m in (0, 1):
             targets[m][c[m]] += want[c] * n
-    rate = newton_rates(cells, [dict(t) for t in targets], 2.0)
+    rate = rates_of(spark, cells, [dict(t) for t in targets])
     for m in (0, 1):
         for v, goal in targets[m].items():
             assert sum(rate[c] * n for c, n in cells if c[m] == v) == pytest.approx(goal, rel=1e-6)
 
 
+def test_newton_with_many_values(spark):
+    """One margin: the rate of a value is target / words, at most 2; nulls, no words and no target included."""
+    r = random.Random(6)
+    cells = [((f"s{i}",), r.randint(1, 1000)) for i in range(3000)] + [((None,), 17), (("none",), 0), (("nil",), 5), (("full",), 8), (("over",), 8), (("free",), 9)]
+    goals = {v: n * r.uniform(0.001, 2) for (v,), n in cells} | {"none": 0.0, "nil": 0.0, "full": 16.0, "over": 99.0}
+    del goals["free"]
+    rate = rates_of(spark, cells, [goals])
+    assert len(rate) == len(cells) and rate[("free",)] == 1.0
+    for (v,), n in cells:
+        if n and v != "free":
+            assert rate[(v,)] == pytest.approx(min(2.0, goals[v] / n), rel=1e-5, abs=1e-6), v
+
+
 def test_mix_comes_near_its_targets(spark):
     out = queries.op1_mix_sources(spark, "/root/testdata/sf0.01").toPandas()
     assert len(out) == 1000 and (out["taken"] <= 2 * out["size"]).all()
@@ -75,7 +112,7 @@ def test_mix_comes_near_its_targets(spark):
     assert (by["size"] == by["told"]).all()
     assert (abs(by["taken"] - by["target"]) <= 0.005 * by["target"] + 5).all()
     assert abs(by["taken"].sum() / (1.5 * by["size"].sum()) - 1) < 0.002
-    two = mix_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), margins=("source", "lang"), targets_of=lambda s: [{k: 1.2 * v for k, v in m.items()} for m in s]).toPandas()
+    two = mix_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), margins=("source", "lang"), targets_of=lambda s: [m.select("value", (1.2 * F.col("words")).alias("target")) for m in s]).toPandas()
     for m in ("source", "lang"):
         got = two.assign(t=two["size"] * two["copies"]).groupby(m)[["t", "size"]].sum()
         assert (abs(got["t"] / got["size"] - 1.2) < 0.03).all()
