@@ -12,6 +12,7 @@ import corpus_pipeline
 from nearfield.llm import quality
 from nearfield.llm.common import read_table
 from nearfield.llm.queries import tokenizer_path
+from nearfield.llm.words import Words, shingles
 
 from .test_results import WORD, brute, plain_targets, shingle_set
 
@@ -64,12 +65,24 @@ def features(text):
     return out
 
 
+def lexical(model, text):
+    """The mean word vector of each passage, a word at a time."""
+    tokens = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    out = []
+    for first in range(0, max(1, len(tokens)), quality.PASSAGE):
+        part = [Words([t], lower=False).hashes() for t in tokens[first : first + quality.PASSAGE]]
+        pairs = [shingles(np.concatenate(two), 2) for two in zip(part, part[1:], strict=False)] + part[-1:]
+        vectors = [model.table[int(h[0]) % quality.BUCKETS].tolist() for h in part + pairs]
+        out.append([sum(v[k] for v in vectors) / max(1, len(vectors)) for k in range(model.table.shape[1])])
+    return out
+
+
 def score(model, text):
     """The gated attention, a passage and a number at a time."""
     p, hidden, weights = model.p, [], []
-    for x in features(text):
+    for x, own in zip(features(text), lexical(model, text), strict=True):
         x = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
-        h = [math.tanh(sum(v * w for v, w in zip(x, column, strict=True)) + b) for column, b in zip(p["We"].T, p["be"], strict=True)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, column, strict=True)) + e + b) for column, e, b in zip(p["We"].T, own, p["be"], strict=True)]
         v = [math.tanh(sum(a * w for a, w in zip(h, column, strict=True)) + b) for column, b in zip(p["V"].T, p["bv"], strict=True)]
         u = [1 / (1 + math.exp(-sum(a * w for a, w in zip(h, column, strict=True)) - b)) for column, b in zip(p["U"].T, p["bu"], strict=True)]
         hidden.append(h)

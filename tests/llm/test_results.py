@@ -286,18 +286,51 @@ def test_fingerprints(spark, documents):
 def test_gradient():
     m = quality.Model(hidden=5, gates=3)
     r = np.random.default_rng(0)
-    x, offsets, y = r.normal(size=(12, quality.FEATURES)), np.array([0, 3, 4, 12]), np.array([1.0, 0.0, 1.0])
-    loss = lambda: float(-np.mean(y * np.log(m.forward(x, offsets)["score"]) + (1 - y) * np.log(1 - m.forward(x, offsets)["score"])))
-    grads = m.gradient(m.forward(x, offsets), y, 0.0)
-    for name, g in grads.items():
-        at = tuple(r.integers(0, n) for n in m.p[name].shape)
-        keep, step = m.p[name][at], 1e-6
-        m.p[name][at] = keep + step
+    sizes = np.array([3, 0, 5, 1, 2, 4, 1, 1, 6, 2, 3, 2])
+    bags = quality.Bags(r.normal(size=(12, quality.FEATURES)), np.array([0, 3, 4, 12]), r.integers(0, 9, (sizes.sum(), 2)).astype(np.uint16), np.append(0, np.cumsum(sizes)))
+    m.table = r.normal(size=m.table.shape)
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        got = m.forward(bags)["score"]
+        return float(-np.mean(y * np.log(got) + (1 - y) * np.log(1 - got)))
+
+    f = m.forward(bags)
+    grads = m.gradient(f, y, 0.0)
+    rows, table = m.table_gradient(f, bags)
+    assert rows.tolist() == sorted(set(bags.words.ravel().tolist()))
+    checks = [(m.p[name], at, g[at]) for name, g in grads.items() for at in [tuple(r.integers(0, n) for n in g.shape)]]
+    checks += [(m.table, (row, 2), g[2]) for row, g in zip(rows, table, strict=True)]
+    for values, at, g in checks:
+        keep, step = values[at], 1e-6
+        values[at] = keep + step
         high = loss()
-        m.p[name][at] = keep - step
+        values[at] = keep - step
         low = loss()
-        m.p[name][at] = keep
-        assert g[at] == pytest.approx((high - low) / (2 * step), abs=1e-5), name
+        values[at] = keep
+        assert g == pytest.approx((high - low) / (2 * step), abs=1e-5), at
+
+
+def test_words_alone_tell_quality():
+    """Two vocabularies whose words look alike: only learned words can tell them apart."""
+    r = random.Random(8)
+    names = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    draw = lambda good: " ".join(r.choice(names[:300] if good == (r.random() < 0.7) else names[300:]) for _ in range(r.randint(40, 200))).encode()
+    y = np.array([r.random() < 0.5 for _ in range(1500)], dtype=float)
+    texts = [draw(bool(v)) for v in y]
+    model = quality.Model().fit(quality.encode(texts[:1000]), y[:1000])
+    assert ((model.scores(texts[1000:]) >= 0.5) == y[1000:]).mean() > 0.95
+    plain = quality.Model().fit(quality.encode(texts[:1000]), y[:1000], lexical_rate=0.0)
+    assert ((plain.scores(texts[1000:]) >= 0.5) == y[1000:]).mean() < 0.7
+
+
+def test_bags_of_some_documents():
+    texts = [b"a b c", None, b"x " * 130, b"", b"y z"]
+    bags = quality.encode(texts)
+    picked = bags.of(np.array([4, 2, 1]))
+    again = quality.encode([texts[4], texts[2], texts[1]])
+    for name in ("x", "offsets", "words", "bounds"):
+        assert np.allclose(getattr(picked, name), getattr(again, name), rtol=0, atol=1e-12), name
 
 
 def test_held_out_quality(spark):
