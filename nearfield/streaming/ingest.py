@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.functions import distances as D
 from nearfield.functions import scalars as S
+from nearfield.operators import search
 from nearfield.operators.catalog import Catalog
 from nearfield.operators.search import ranked
 from nearfield.sources.images import local_path
@@ -30,12 +33,17 @@ def ingest_stream(files: DataFrame, catalog: Catalog, checkpoint: str, *, once:
 
 
 def answer_stream(queries: DataFrame, features: DataFrame, k: int, checkpoint: str, sink, metric: str = "cosine", *, once: bool = True) -> StreamingQuery:
-    """For each batch of queries (query_id, vector): sink(rows of query_id, rank, image_id, distance, batch number)."""
+    """For each batch of queries (query_id, vector): sink(rows of query_id, rank, image_id, distance, batch number).
+
+    A batch of more than `MAX_QUERIES` is dealt into parts by a hash of the
+    id, a scan of the features for each, so a scan broadcasts about `MAX_QUERIES` queries.
+    """
 
     def answer(batch: DataFrame, number: int) -> None:
-        few = batch.select("query_id", D.doubles(F.col("vector")).alias("_q"))
-        d = D.folded(D.metric(metric)(F.col("_q"), D.doubles(F.col("vector"))))
-        rows = features.crossJoin(few).select("query_id", "image_id", d.alias("distance")).filter(D.is_finite(F.col("distance")))
+        parts = max(1, -(-batch.count() // search.MAX_QUERIES))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        scans = [search.distances_to(features, batch.filter(part == i) if parts > 1 else batch, metric) for i in range(parts)]
+        rows = reduce(DataFrame.unionByName, scans).filter(D.is_finite(F.col("distance")))
         sink(ranked(rows, "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance"), number)
 
     writer = queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)

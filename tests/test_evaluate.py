@@ -121,6 +121,16 @@ def test_streaming(spark, folder, tmp_path):  # noqa: F811
     assert [(r["query_id"], r["rank"], r["image_id"]) for r in sorted(got, key=lambda r: r["rank"])][0] == (7, 1, 3)
 
 
+def test_large_batches_of_queries_are_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest.search, "MAX_QUERIES", 2)
+    features = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 6)], "image_id long, vector array<double>")
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 6)], "query_id long, vector array<double>").write.parquet(str(tmp_path / "asked"))
+    asked = spark.readStream.schema("query_id long, vector array<double>").parquet(str(tmp_path / "asked"))
+    got = []
+    ingest.answer_stream(asked, features, 1, str(tmp_path / "answers"), lambda rows, n: got.extend(rows.collect())).awaitTermination()
+    assert sorted((r["query_id"], r["image_id"]) for r in got) == [(i, i) for i in range(1, 6)]
+
+
 def test_nan_never_wins(spark):
     v = spark.range(1).select(D.cosine(D.vector([1, float("nan")]), D.vector([1, 2])).alias("d")).first()["d"]
     assert v != v
