@@ -6,6 +6,11 @@ on. Equal keys are an equi-join on (table, key). `Cells` are k-means cells, of
 which the nearest few are read: a partition column, so cells not asked for
 are not scanned. `BucketedLSH` is the one that ships with Spark, as a baseline.
 
+Many queries go by blocks: rows with their keys in the index, and queries with
+the keys they ask for, are packed, and a block of queries meets a block of rows
+in one task. It joins both on their keys, compares what met and keeps k rows a
+query, so candidate pairs are never rows of a table.
+
 Indexes are Parquet folders with a manifest; an index whose parameters or
 input shards changed is built anew by `refresh`.
 """
@@ -17,15 +22,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
+from nearfield.operators.knn import _kernel
 from nearfield.operators.search import check_k, nonzero, ranked, top_k
 
+#: Rows and queries of a block, queries compared at once, pairs compared exactly at once.
+ROWS, QUERIES, STEP, PAIRS = 4096, 1024, 256, 1 << 16
+#: Every part of the queries meets every part of the rows in a task; further blocks share parts.
+ROW_PARTS, QUERY_PARTS = 128, 32
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,17 +102,112 @@ class _Index:
         d = D.metric(self.metric)(D.vector(values), D.doubles(F.col("vector")))
         return top_k(rows.select("image_id", d.alias("distance")), k, on_short=on_short)
 
-    def _nearest(self, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance of the k nearest of each query's candidates (query_id, image_id)."""
-        rows = pairs.join(self.features, "image_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
-        d = D.metric(self.metric)(D.doubles(F.col("_q")), D.doubles(F.col("vector")))
-        return ranked(rows.select("query_id", "image_id", d.alias("distance")), "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance")
+    def _coded(self) -> DataFrame:
+        """image_id, vector, codes: the rows with their places (`_code`) in the index table."""
+        places = self.table.groupBy("image_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes"))
+        return self.features.select("image_id", D.doubles(F.col("vector")).alias("vector")).join(places, "image_id")
+
+    def _nearest(self, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, image_id, distance of the k nearest of each query's candidates; asked (query_id, codes)."""
+        check_k(k)
+        left = queries.select("query_id", D.doubles(F.col("vector")).alias("vector")).join(asked, "query_id")
+        left = _blocks(left.withColumnRenamed("query_id", "image_id"), QUERIES, min(QUERY_PARTS, -(-queries.count() // QUERIES)))
+        right = _blocks(self._coded(), ROWS, min(ROW_PARTS, -(-self.num_vectors // ROWS)))
+        pairs = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns]).crossJoin(right)
+        metric = self.metric
+
+        def run(stream):
+            for batch in stream:
+                for at in range(len(batch)):
+                    found = _meet(*(np.frombuffer(c[at].as_buffer(), dtype=t) for c, t in zip(batch.columns, 2 * [np.int64, float, np.int64, np.int64], strict=True)), k, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "image_id", "distance"])
+
+        found = pairs.mapInArrow(run, "query_id long, image_id long, distance double")
+        return ranked(found, "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance")
 
     def admitted(self, query: Sequence[float]) -> float:
         """The share of rows that a query's candidates are."""
         return self.candidates(D.check_query(query, self.dim)).count() / self.num_vectors
 
 
+def _code(table: Column, key: Column) -> Column:
+    """A table and a key in it as one number."""
+    return F.shiftleft(table.cast("long"), 48) + key.cast("long")
+
+
+def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
+    """ids, vectors, codes, counts (codes of each row): rows (image_id, vector, codes) dealt into parts and packed."""
+    names = ["ids", "vectors", "codes", "counts"]
+
+    def pack(stream):
+        for batch in stream:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                vectors, codes = part.column("vector"), part.column("codes")
+                arrays = [part.column("image_id"), vectors.flatten(), codes.flatten(), pc.list_value_length(codes).cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for x in arrays], names)
+
+    return rows.filter("image_id is not null").select("image_id", "vector", "codes").repartition(max(1, parts)).mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+
+
+def _meet(qi, qv, qc, qn, ci, cv, cc, cn, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, row, distance of the k nearest rows that share a code with a query, ties by id: ids, vectors, codes and counts of both."""
+    if not len(qi) or not len(ci):
+        return qi[:0], ci[:0], np.zeros(0)
+    q, c, kernel = qv.reshape(len(qi), -1), cv.reshape(len(ci), -1), _kernel(metric)
+    order = np.argsort(cc, kind="stable")
+    codes, members = cc[order], np.repeat(np.arange(len(ci)), cn)[order]
+    asker, out = np.repeat(np.arange(len(qi)), qn), []
+    # the matrix product rounds in other ways than the distance itself, so what is that near the k-th stays in the running
+    near_enough = 1e-6 * max(1.0, *(np.sqrt(np.max((m * m).sum(1), where=np.isfinite(m).all(1), initial=0.0)) for m in (q, c)))
+    for low in range(0, len(qi), STEP):
+        some = (asker >= low) & (asker < low + STEP)
+        by = np.argsort(qc[some], kind="stable")
+        asked, who = np.unique(qc[some][by], return_index=True), (asker[some] - low)[by]
+        met = np.zeros((min(STEP, len(qi) - low), len(ci)), dtype=bool)
+        begin, end = np.searchsorted(codes, asked[0]), np.searchsorted(codes, asked[0], side="right")
+        for a, b, x, y in zip(begin, end, asked[1], np.append(asked[1][1:], len(who)), strict=True):
+            if b > a:
+                met[np.ix_(who[x:y], members[a:b])] = True
+        live = np.flatnonzero(met.any(0))
+        met = met[:, live]
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = kernel(q[low : low + STEP], c[live])
+            near[~met] = np.nan  # sorted last
+            edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if k < len(live) else np.full((len(near), 1), np.nan)
+            rows, cols = np.nonzero(met & ~(near > edge + near_enough))
+        for at in range(0, len(rows), PAIRS):
+            x, y = rows[at : at + PAIRS] + low, live[cols[at : at + PAIRS]]
+            out.append((x, y, _exact(metric, q[x], c[y])))
+    x, y, d = (np.concatenate(parts) for parts in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    order = np.lexsort((ci[y], d, x))
+    x, y, d = x[order], y[order], d[order]
+    first = np.arange(len(x)) - np.searchsorted(x, x) < k
+    return qi[x[first]], ci[y[first]], d[first]
+
+
+def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of a and b, as the column expressions add: one value after the other, so equal vectors tie."""
+    terms = {"euclidean": lambda x, y: (x - y) * (x - y), "manhattan": lambda x, y: np.abs(x - y), "hamming": lambda x, y: (x != y).astype(float)}.get(metric, np.multiply)
+
+    def total(term, x, y):
+        out = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            out += term(x[:, j], y[:, j])
+        return out
+
+    with np.errstate(all="ignore"):
+        out = total(terms, a, b)
+        if metric == "euclidean":
+            return np.sqrt(out)
+        if metric == "dot":
+            return -out
+        if metric == "angular":
+            size = np.sqrt(total(np.multiply, a, a)) * np.sqrt(total(np.multiply, b, b))
+            return np.where(size == 0, np.inf, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * out / size)))
+    return out
+
+
 def _planes(dim: int, tables: int, depth: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(dim, tables * depth))
 
@@ -142,15 +249,14 @@ class SignKeys(_Index):
         return self.table.join(F.broadcast(mine), ["table", "key"], "left_semi").select("image_id").distinct()
 
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): one equi-join on keys.
+        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on keys, block by block.
 
         A query asks for its own key of a table and for those across one hyperplane.
         """
         asked = self.keys(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
         probes = F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(self.params["depth"])])
-        asked = asked.select("query_id", "table", F.explode(probes).alias("key"))
-        pairs = asked.join(self.table, ["table", "key"]).select("query_id", "image_id").distinct()
-        return self._nearest(pairs, queries, k)
+        asked = asked.select("query_id", "table", F.explode(probes).alias("key")).groupBy("query_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes"))
+        return self._nearest(asked, queries, k)
 
 
 class Cells(_Index):
@@ -180,7 +286,7 @@ class Cells(_Index):
         return self.table.filter(F.col("cell").isin(order[: self.params["probes"]].tolist())).select("image_id")
 
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on the cells that each query reads."""
+        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on the cells that each query reads, block by block."""
         centers, probes = np.array(self.centers), self.params["probes"]
 
         def run(stream):
@@ -191,8 +297,12 @@ class Cells(_Index):
                     order = np.argsort(((centers[None] - v[:, None]) ** 2).sum(2), axis=1, kind="stable")[:, :probes]
                     yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(order.tolist(), pa.list_(pa.int32()))], ["query_id", "cells"])
 
-        asked = queries.select("query_id", "vector").mapInArrow(run, "query_id long, cells array<int>").select("query_id", F.explode("cells").alias("cell"))
-        return self._nearest(asked.join(self.table, "cell").select("query_id", "image_id"), queries, k)
+        asked = queries.select("query_id", "vector").mapInArrow(run, "query_id long, cells array<int>")
+        return self._nearest(asked.select("query_id", F.transform("cells", lambda c: c.cast("long")).alias("codes")), queries, k)
+
+    def _coded(self) -> DataFrame:
+        places = self.table.select("image_id", F.array(F.col("cell").cast("long")).alias("codes"))
+        return self.features.select("image_id", D.doubles(F.col("vector")).alias("vector")).join(places, "image_id")
 
 
 class BucketedLSH(_Index):
@@ -229,6 +339,6 @@ class BucketedLSH(_Index):
         return self.table.join(self._hashes(one).drop("image_id"), ["table", "key"], "left_semi").select("image_id").distinct()
 
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): one equi-join on hashes."""
+        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on hashes, block by block."""
         asked = self._hashes(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
-        return self._nearest(asked.join(self.table, ["table", "key"]).select("query_id", "image_id").distinct(), queries, k)
+        return self._nearest(asked.groupBy("query_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes")), queries, k)

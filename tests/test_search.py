@@ -151,3 +151,30 @@ def test_index_leaves_zero_vectors_out(spark):
         ann.SignKeys(t.filter("image_id = 2")).build()
     with pytest.raises(ValueError):
         ann.SignKeys(t, "chi2")
+
+
+@pytest.mark.parametrize("make", [lambda t: ann.SignKeys(t, tables=8, depth=3), lambda t: ann.Cells(t, cells=4, probes=2), lambda t: ann.BucketedLSH(t, bucket=0.5)])
+def test_candidate_pairs_are_not_rows(spark, make, monkeypatch):
+    """What is ranked is k rows of each query and block, not every row that a query meets."""
+    m = np.random.default_rng(2).normal(size=(2000, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], SCHEMA).cache()
+    seen = []
+    monkeypatch.setattr(ann, "ranked", lambda rows, *how: (seen.append(rows.count()), search.ranked(rows, *how))[1])
+    assert make(table).build().search_many(table.filter("image_id % 20 = 0").withColumnRenamed("image_id", "query_id"), 3).count() == 300
+    assert 300 <= seen[0] <= 300 * 8
+
+
+@pytest.mark.parametrize("metric", D.INDEX_METRICS)
+def test_blocks_agree_with_expressions(spark, metric):
+    """Rows that share a code with a query, the k nearest of them, ties by id."""
+    r = np.random.default_rng(3)
+    q, c = r.integers(-1, 2, size=(9, 5)).astype(float), r.integers(-1, 2, size=(60, 5)).astype(float)
+    q[0], c[c.any(1) == 0] = 0.0, 1.0
+    asked, has = r.integers(0, 6, size=(9, 2)), r.integers(0, 6, size=(60, 1))
+    has[has == asked[1, 0]] = 9  # this query meets what its other code has only
+    ids = r.permutation(60)
+    x, y, d = ann._meet(np.arange(9), q.ravel(), asked.ravel(), np.full(9, 2), ids, c.ravel(), has.ravel(), np.ones(60, dtype=int), 4, metric)
+    pairs = [(i, int(ids[j]), q[i].tolist(), c[j].tolist()) for i in range(9) for j in range(60) if has[j, 0] in asked[i]]
+    rows = spark.createDataFrame(pairs, "query_id long, image_id long, q array<double>, c array<double>")
+    want = search.ranked(rows.select("query_id", "image_id", D.metric(metric)(F.col("q"), F.col("c")).alias("distance")), "distance", ["query_id"], 4)
+    assert sorted(zip(x.tolist(), y.tolist(), d.tolist(), strict=True)) == sorted((w["query_id"], w["image_id"], w["distance"]) for w in want.collect())
