@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -320,15 +322,29 @@ def placed_vectors(spark, sf):
     return six(project.placed_vectors(coords, e).select("image_id", "x", "y", D.total(F.col("vector")).alias("total")), "x", "y", "total")
 
 
+def _letter_counts(stream):
+    """image_id and how often each of a to z is in a lower-cased text, by its bytes."""
+    for batch in stream:
+        texts = batch.column("t").cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        counts = np.zeros((len(texts), 26))
+        for i, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            counts[i] = np.bincount(raw[begin:end], minlength=256)[97:123]
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), 26).cast(pa.list_(pa.float64()))], ["image_id", "counts"])
+
+
 def document_letters_topk(spark, sf):
     """Documents nearest to document 0 by the shares of their letters (chi-squared)."""
-    # the letters alone, then how much shorter the text is without each
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", "").alias("_t"))
-    counts = F.array(*[(F.length("_t") - F.length(F.translate("_t", c, ""))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
-    rows = rows.select("image_id", counts.alias("_c"))
-    rows = rows.select("image_id", D.l1_normalised(F.col("_c")).alias("vector"))
-    q = rows.filter(F.col("image_id") == QUERY).first()["vector"]
-    return six(search.search(rows, q, K, "chi2", "clamp"), "distance")
+
+    def shares(documents: DataFrame) -> DataFrame:
+        texts = documents.select(F.col("doc_id").alias("image_id"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+        counts = texts.mapInArrow(_letter_counts, "image_id long, counts array<double>")
+        return counts.select("image_id", D.l1_normalised(F.col("counts")).alias("vector"))
+
+    documents = table(spark, sf, "documents")
+    q = shares(documents.filter(F.col("doc_id") == QUERY)).first()["vector"]
+    return six(search.search(shares(documents), q, K, "chi2", "clamp"), "distance")
 
 
 def _index(make: Callable) -> Callable:

@@ -189,3 +189,18 @@ def test_cell_recall_on_a_larger_table(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     want = {(int(ids[i]), int(j)) for i in np.flatnonzero(ids % 20 == 0) for j in ids[np.lexsort((ids, -(m @ m[i])))[: queries.K]]}
     assert len(want & {(r[0], r[1]) for r in got}) >= 0.9 * len(want)
+
+
+def test_letters_are_counted_in_one_pass(spark, tmp_path):
+    """Any text, and no expression for each letter."""
+    import duckdb
+
+    from nearfield.plans import sql
+
+    texts = ["Abc, cab! \u00e9 \u212a", None, "", "zzz ZZ\n9", "\u00c9\u00df \u4e2d", "abccab k", "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.document_letters_topk(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(sql.oracle_sql()["document_letters_topk"]).fetchall())
+    assert "translate" not in got._jdf.queryExecution().optimizedPlan().toString()
