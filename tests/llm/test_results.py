@@ -450,6 +450,36 @@ def test_candidates_of_altered_passages(spark):
     assert got <= want and len(want) > 250 and len(got) >= 0.95 * len(want)
 
 
+def test_no_altered_pair_is_left_out(spark):
+    """Every pair that verification confirms is found: with words changed, and where the first documents of a line's key have the line alone."""
+    r, docs, want = random.Random(22), [], set()
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line = new(20)
+
+    def pair(passage, spots):
+        altered, at = passage.copy(), len(docs)
+        for x in spots:
+            altered[x] = new(1)[0]
+        both = [new(r.randrange(20, 60)) + p + new(r.randrange(20, 60)) for p in (passage, altered)]
+        docs.extend(both)
+        number = {w: n for n, w in enumerate({*both[0], *both[1]})}
+        if passages(*(np.array([number[w] for w in p], dtype=np.uint32) for p in both)):
+            want.add((at, at + 1))
+
+    docs.extend(new(40) + line + new(40) for _ in range(40))  # a large crowd
+    for _ in range(30):
+        pair(new(16) + line + new(16), [r.randrange(16)])
+    for _ in range(30):  # small ones
+        some = new(20)
+        docs.append(new(40) + some + new(40))
+        pair(new(16) + some + new(16), [r.randrange(36, 52)])
+    for _ in range(300):
+        n = r.choice([50, 60, 75, 100, 150])
+        pair(new(n), r.sample(range(n), n // 50))
+    got = {(x["source_doc_id"], x["doc_id"]) for x in repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 300
+
+
 # 8 rollups
 
 
