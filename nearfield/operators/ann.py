@@ -6,10 +6,13 @@ on. Equal keys are an equi-join on (table, key). `Cells` are k-means cells, of
 which the nearest few are read: a partition column, so cells not asked for
 are not scanned. `BucketedLSH` is the one that ships with Spark, as a baseline.
 
-Many queries go by blocks: rows with their keys in the index, and queries with
-the keys they ask for, are packed, and a block of queries meets a block of rows
-in one task. It joins both on their keys, compares what met and keeps k rows a
-query, so candidate pairs are never rows of a table.
+Many queries go by blocks: vectors are packed where they lie, and every part of
+the queries meets every part of the rows in one task. A row is a candidate of a
+query if it has a key that the query asks for. Keys follow from vectors, so
+tasks make them; as a matrix product is cheaper than a join on keys that most
+pairs share, a task first leaves out the pairs farther than the k candidates it
+has, and then joins the others on keys. It keeps k rows a query, whatever number
+of blocks it reads: candidate pairs and keys are never rows of a table.
 
 Indexes are Parquet folders with a manifest; an index whose parameters or
 input shards changed is built anew by `refresh`.
@@ -18,25 +21,24 @@ input shards changed is built anew by `refresh`.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
 from nearfield.operators.knn import _kernel
 from nearfield.operators.search import check_k, nonzero, ranked, top_k
 
-#: Rows and queries of a block, queries compared at once, pairs compared exactly at once.
-ROWS, QUERIES, STEP, PAIRS = 4096, 1024, 256, 1 << 16
-#: Every part of the queries meets every part of the rows in a task; further blocks share parts.
-ROW_PARTS, QUERY_PARTS = 128, 32
+#: Values of a block of vectors, rows of it at most, queries compared at once, pairs compared exactly at once.
+VALUES, ROWS, STEP, PAIRS = 1 << 19, 8192, 256, 1 << 16
+#: Rows are dealt into so many parts, and more where a part would have over `DEPTH` blocks.
+ROW_PARTS, DEPTH = 16, 32
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -102,25 +104,33 @@ class _Index:
         d = D.metric(self.metric)(D.vector(values), D.doubles(F.col("vector")))
         return top_k(rows.select("image_id", d.alias("distance")), k, on_short=on_short)
 
-    def _coded(self) -> DataFrame:
-        """image_id, vector, codes: the rows with their places (`_code`) in the index table."""
-        places = self.table.groupBy("image_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes"))
-        return self.features.select("image_id", D.doubles(F.col("vector")).alias("vector")).join(places, "image_id")
+    def _coders(self) -> tuple[Callable, Callable]:
+        """Two functions from vectors (a matrix) to codes, one row for each vector: those a row has, those a query asks for."""
+        raise NotImplementedError
 
-    def _nearest(self, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance of the k nearest of each query's candidates; asked (query_id, codes)."""
+    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, image_id, distance of the k nearest candidates of each row of a table (query_id, vector), block by block."""
         check_k(k)
-        left = queries.select("query_id", D.doubles(F.col("vector")).alias("vector")).join(asked, "query_id")
-        left = _blocks(left.withColumnRenamed("query_id", "image_id"), QUERIES, min(QUERY_PARTS, -(-queries.count() // QUERIES)))
-        right = _blocks(self._coded(), ROWS, min(ROW_PARTS, -(-self.num_vectors // ROWS)))
-        pairs = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns]).crossJoin(right)
-        metric = self.metric
+        size = max(1, min(ROWS, VALUES // max(1, self.dim)))
+        asking = _blocks(queries.withColumnRenamed("query_id", "image_id"), size)
+        asking = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns]).repartition(max(1, -(-queries.count() // size)))
+        blocks = -(-self.num_vectors // size)
+        pairs = asking.crossJoin(_blocks(self.features, size).repartition(max(1, min(ROW_PARTS, blocks), -(-blocks // DEPTH))))
+        (has, asks), metric, dim = self._coders(), self.metric, self.dim
 
         def run(stream):
+            held: dict[bytes, list[_Nearest]] = {}
             for batch in stream:
-                for at in range(len(batch)):
-                    found = _meet(*(np.frombuffer(c[at].as_buffer(), dtype=t) for c, t in zip(batch.columns, 2 * [np.int64, float, np.int64, np.int64], strict=True)), k, metric)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "image_id", "distance"])
+                for qi, qv, ci, cv in zip(*batch.columns, strict=True):
+                    if (name := qi.as_py()) not in held:
+                        ids, q = _unpacked(qi, qv, dim)
+                        held[name] = [_Nearest(ids[at : at + STEP], q[at : at + STEP], asks(q[at : at + STEP]), k, metric) for at in range(0, len(ids), STEP)]
+                    rows = _Rows(*_unpacked(ci, cv, dim), has, metric)
+                    for some in held[name]:
+                        some.add(rows)
+            for some in held.values():
+                for part in some:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in part.found()], ["query_id", "image_id", "distance"])
 
         found = pairs.mapInArrow(run, "query_id long, image_id long, distance double")
         return ranked(found, "distance", ["query_id"], k).select("query_id", "rank", "image_id", "distance")
@@ -130,81 +140,190 @@ class _Index:
         return self.candidates(D.check_query(query, self.dim)).count() / self.num_vectors
 
 
-def _code(table: Column, key: Column) -> Column:
+def _code(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A table and a key in it as one number."""
-    return F.shiftleft(table.cast("long"), 48) + key.cast("long")
+    return (table << 48) + key
 
 
-def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
-    """ids, vectors, codes, counts (codes of each row): rows (image_id, vector, codes) dealt into parts and packed."""
-    names = ["ids", "vectors", "codes", "counts"]
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """ids, vectors: rows (image_id, vector) packed where they lie, vectors as floats if that loses nothing."""
 
     def pack(stream):
+        ids, vectors, held = [], [], 0
+
+        def out(n):
+            nonlocal ids, vectors, held
+            i, v = np.concatenate(ids), np.concatenate(vectors)
+            ids, vectors, held = [i[n:]], [v[n:]], held - n
+            i, v = i[:n], v[:n]
+            with np.errstate(over="ignore", invalid="ignore"):
+                short = v.astype(np.float32)
+            if np.array_equal(short, v, equal_nan=True):
+                v = short
+            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "vectors"])
+
         for batch in stream:
-            for at in range(0, len(batch), size):
-                part = batch.slice(at, size)
-                vectors, codes = part.column("vector"), part.column("codes")
-                arrays = [part.column("image_id"), vectors.flatten(), codes.flatten(), pc.list_value_length(codes).cast(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for x in arrays], names)
+            if len(batch):
+                ids.append(batch.column("image_id").to_numpy(zero_copy_only=False))
+                vectors.append(_matrix(batch.column("vector")))
+                held += len(batch)
+                while held >= size:
+                    yield out(size)
+        if held:
+            yield out(held)
+
+    known = rows.filter("image_id is not null and vector is not null").select(F.col("image_id").cast("long").alias("image_id"), D.doubles(F.col("vector")).alias("vector"))
+    return known.mapInArrow(pack, "ids binary, vectors binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
 
-    return rows.filter("image_id is not null").select("image_id", "vector", "codes").repartition(max(1, parts)).mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+def _unpacked(ids: pa.BinaryScalar, vectors: pa.BinaryScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    i, raw = np.frombuffer(ids.as_buffer(), dtype=np.int64), vectors.as_buffer()
+    return i, np.frombuffer(raw, dtype=np.float32 if raw.size == 4 * dim * len(i) else float).reshape(len(i), dim).astype(float)
 
 
 def _meet(qi, qv, qc, qn, ci, cv, cc, cn, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, row, distance of the k nearest rows that share a code with a query, ties by id: ids, vectors, codes and counts of both."""
+    """query, row, distance of the k nearest rows that share a code with a query, ties by id: ids, vectors, codes and counts of both, one block each."""
     if not len(qi) or not len(ci):
         return qi[:0], ci[:0], np.zeros(0)
-    q, c, kernel = qv.reshape(len(qi), -1), cv.reshape(len(ci), -1), _kernel(metric)
-    order = np.argsort(cc, kind="stable")
-    codes, members = cc[order], np.repeat(np.arange(len(ci)), cn)[order]
-    asker, out = np.repeat(np.arange(len(qi)), qn), []
-    # the matrix product rounds in other ways than the distance itself, so what is that near the k-th stays in the running
-    near_enough = 1e-6 * max(1.0, *(np.sqrt(np.max((m * m).sum(1), where=np.isfinite(m).all(1), initial=0.0)) for m in (q, c)))
-    for low in range(0, len(qi), STEP):
-        some = (asker >= low) & (asker < low + STEP)
-        by = np.argsort(qc[some], kind="stable")
-        asked, who = np.unique(qc[some][by], return_index=True), (asker[some] - low)[by]
-        met = np.zeros((min(STEP, len(qi) - low), len(ci)), dtype=bool)
-        begin, end = np.searchsorted(codes, asked[0]), np.searchsorted(codes, asked[0], side="right")
-        for a, b, x, y in zip(begin, end, asked[1], np.append(asked[1][1:], len(who)), strict=True):
-            if b > a:
-                met[np.ix_(who[x:y], members[a:b])] = True
-        live = np.flatnonzero(met.any(0))
-        met = met[:, live]
-        with np.errstate(invalid="ignore", over="ignore"):
-            near = kernel(q[low : low + STEP], c[live])
-            near[~met] = np.nan  # sorted last
-            edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if k < len(live) else np.full((len(near), 1), np.nan)
-            rows, cols = np.nonzero(met & ~(near > edge + near_enough))
-        for at in range(0, len(rows), PAIRS):
-            x, y = rows[at : at + PAIRS] + low, live[cols[at : at + PAIRS]]
-            out.append((x, y, _exact(metric, q[x], c[y])))
-    x, y, d = (np.concatenate(parts) for parts in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    order = np.lexsort((ci[y], d, x))
-    x, y, d = x[order], y[order], d[order]
-    first = np.arange(len(x)) - np.searchsorted(x, x) < k
-    return qi[x[first]], ci[y[first]], d[first]
-
-
-def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of a and b, as the column expressions add: one value after the other, so equal vectors tie."""
-    terms = {"euclidean": lambda x, y: (x - y) * (x - y), "manhattan": lambda x, y: np.abs(x - y), "hamming": lambda x, y: (x != y).astype(float)}.get(metric, np.multiply)
+    has, asked = _rectangle(cc, cn, -1), _rectangle(qc, qn, -2)
+    rows = _Rows(ci, cv.reshape(len(ci), -1), None, metric, has)
+    q = qv.reshape(len(qi), -1)
+    parts = [_Nearest(qi[at : at + STEP], q[at : at + STEP], asked[at : at + STEP], k, metric) for at in range(0, len(qi), STEP)]
+    for part in parts:
+        part.add(rows)
+    return tuple(np.concatenate(x) for x in zip(*(part.found() for part in parts), strict=True))
+
+
+def _rectangle(codes: np.ndarray, counts: np.ndarray, none: int) -> np.ndarray:
+    """One row of codes for each count, filled up with a code that is none."""
+    out = np.full((len(counts), max(1, int(counts.max(initial=0)))), none, dtype=np.int64)
+    out[np.arange(out.shape[1])[None, :] < counts[:, None]] = codes
+    return out
 
-    def total(term, x, y):
-        out = np.zeros(len(x))
-        for j in range(x.shape[1]):
-            out += term(x[:, j], y[:, j])
-        return out
 
+def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
-        out = total(terms, a, b)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size != 0)
+
+
+class _Rows:
+    """A block of rows: ids, vectors, and the codes of some of them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Callable | None, metric: str, codes: np.ndarray | None = None):
+        self.ids, self.vectors, self.coder, self.codes = ids, vectors, coder, codes
+        if metric == "angular":
+            self.unit, self.size = _unit(vectors).astype(np.float32), _sizes(vectors)
+        else:
+            self.size, self.largest = None, _largest(vectors)
+
+    def codes_of(self, some: np.ndarray) -> np.ndarray:
+        return self.coder(self.vectors[some]) if self.codes is None else self.codes[some]
+
+
+def _largest(m: np.ndarray) -> float:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return float(np.sqrt(np.max((m * m).sum(1), where=np.isfinite(m).all(1), initial=0.0)))
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.nonzero, for masks with few that are true: eight at once are looked at first."""
+    if mask.size % 8:
+        return np.nonzero(mask)
+    flat = mask.reshape(-1)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    eight, place = np.nonzero(flat.reshape(-1, 8)[eights])
+    return np.divmod(eights[eight] * 8 + place, max(1, mask.shape[1]))
+
+
+class _Nearest:
+    """Queries, and of all rows added the k nearest that share a code with each, ties by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric, self.seen = ids, vectors, k, metric, 0
+        self.codes, at = np.unique(asked, return_inverse=True)
+        # which codes a query asks for; the last column stands for all codes that none asks for
+        self.asks = np.zeros((len(ids), len(self.codes) + 1), dtype=bool)
+        self.asks[np.arange(len(ids))[:, None], at.reshape(asked.shape)] = True
+        self.x, self.y, self.d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.edge = np.full(len(ids), np.inf)
+        if metric == "angular":
+            self.unit, self.size = _unit(vectors).astype(np.float32), _sizes(vectors)
+        else:
+            self.kernel, self.largest = _kernel(metric), _largest(vectors)
+
+    def add(self, rows: _Rows) -> None:
+        at = 0
+        while at < len(rows.ids):
+            # few at first: they tell how near the others have to be
+            upto = at + max(16, self.seen)
+            x, y = self._near(rows, slice(at, upto))
+            for low in range(0, len(x), PAIRS):
+                self._take(rows, x[low : low + PAIRS], y[low : low + PAIRS] + at)
+            self.seen += len(rows.ids[at:upto])
+            at = upto
+
+    def _near(self, rows: _Rows, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be nearer than the k-th; the matrix product rounds in other ways than the distance itself, so what is about that near stays in the running."""
+        with np.errstate(all="ignore"):
+            if self.metric == "angular":
+                rounding = 3e-7 * (self.q.shape[1] + 8)
+                far = self.unit @ rows.unit[part].T < (1 - self.edge * self.edge / 2 - rounding).astype(np.float32)[:, None]
+            else:
+                far = self.kernel(self.q, rows.vectors[part]) > (self.edge + 1e-6 * max(1.0, self.largest, rows.largest))[:, None]
+        return _places(~far)
+
+    def _take(self, rows: _Rows, x: np.ndarray, y: np.ndarray) -> None:
+        own, place = np.unique(y, return_inverse=True)
+        codes = rows.codes_of(own)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at[self.codes[at] != codes] = len(self.codes)
+        met = self.asks[x[:, None], at[place]].any(1)
+        x, y = x[met], y[met]
+        if not len(x):
+            return
+        sizes = self.size[x] * rows.size[y] if self.metric == "angular" else None
+        d = _exact(self.metric, self.q[x], rows.vectors[y], sizes)
+        x, y, d = np.concatenate([self.x, x]), np.concatenate([self.y, rows.ids[y]]), np.concatenate([self.d, d])
+        order = np.lexsort((y, d, x))
+        x, y, d = x[order], y[order], d[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        last = rank == self.k - 1
+        self.edge[x[last]] = d[last]
+        self.x, self.y, self.d = (z[rank < self.k] for z in (x, y, d))
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.ids[self.x], self.y, self.d
+
+
+def _total(term: Callable, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += term(x[:, j], y[:, j])
+    return out
+
+
+def _sizes(m: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.sqrt(_total(np.multiply, m, m))
+
+
+def _exact(metric: str, a: np.ndarray, b: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Of rows of a and b, as the column expressions add: one value after the other, so equal vectors tie; sizes: the norms' products, for angles."""
+    terms = {"euclidean": lambda x, y: (x - y) * (x - y), "manhattan": lambda x, y: np.abs(x - y), "hamming": lambda x, y: (x != y).astype(float)}.get(metric, np.multiply)
+    with np.errstate(all="ignore"):
+        out = _total(terms, a, b)
         if metric == "euclidean":
             return np.sqrt(out)
         if metric == "dot":
             return -out
         if metric == "angular":
-            size = np.sqrt(total(np.multiply, a, a)) * np.sqrt(total(np.multiply, b, b))
-            return np.where(size == 0, np.inf, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * out / size)))
+            return np.where(sizes == 0, np.inf, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * out / sizes)))
     return out
 
 
@@ -248,15 +367,16 @@ class SignKeys(_Index):
         mine = self.spark.createDataFrame([(t, int(k)) for t, k in enumerate(keys)], "table int, key long")
         return self.table.join(F.broadcast(mine), ["table", "key"], "left_semi").select("image_id").distinct()
 
-    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on keys, block by block.
+    def _coders(self) -> tuple[Callable, Callable]:
+        """A query asks for its own key of a table and for those across one hyperplane."""
+        tables, depth, seed = (self.params[x] for x in ("tables", "depth", "seed"))
+        planes = _planes(self.dim, tables, depth, seed)
+        probes = np.concatenate(([0], 1 << np.arange(depth)))
 
-        A query asks for its own key of a table and for those across one hyperplane.
-        """
-        asked = self.keys(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
-        probes = F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(self.params["depth"])])
-        asked = asked.select("query_id", "table", F.explode(probes).alias("key")).groupBy("query_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes"))
-        return self._nearest(asked, queries, k)
+        def has(v):
+            return _code(np.arange(tables), _sign_keys(v, planes, tables, depth))
+
+        return has, lambda v: (has(v)[:, :, None] ^ probes).reshape(len(v), -1)
 
 
 class Cells(_Index):
@@ -285,24 +405,16 @@ class Cells(_Index):
         order = np.argsort(((np.array(self.centers) - q) ** 2).sum(1), kind="stable")
         return self.table.filter(F.col("cell").isin(order[: self.params["probes"]].tolist())).select("image_id")
 
-    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on the cells that each query reads, block by block."""
+    def _coders(self) -> tuple[Callable, Callable]:
+        """A query asks for the nearest cells, a row is in the nearest."""
         centers, probes = np.array(self.centers), self.params["probes"]
 
-        def run(stream):
-            for batch in stream:
-                if len(batch):
-                    v = np.asarray(batch.column("vector").to_pylist(), dtype=float)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    order = np.argsort(((centers[None] - v[:, None]) ** 2).sum(2), axis=1, kind="stable")[:, :probes]
-                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(order.tolist(), pa.list_(pa.int32()))], ["query_id", "cells"])
-
-        asked = queries.select("query_id", "vector").mapInArrow(run, "query_id long, cells array<int>")
-        return self._nearest(asked.select("query_id", F.transform("cells", lambda c: c.cast("long")).alias("codes")), queries, k)
+        def nearest(v, n):
+            unit = _unit(v)
+            away = sum(np.square(unit[:, j, None] - centers[None, :, j]) for j in range(unit.shape[1]))
+            return np.argsort(away, axis=1, kind="stable")[:, :n]
 
-    def _coded(self) -> DataFrame:
-        places = self.table.select("image_id", F.array(F.col("cell").cast("long")).alias("codes"))
-        return self.features.select("image_id", D.doubles(F.col("vector")).alias("vector")).join(places, "image_id")
+        return lambda v: nearest(v, 1), lambda v: nearest(v, probes)
 
 
 class BucketedLSH(_Index):
@@ -338,7 +450,10 @@ class BucketedLSH(_Index):
         one = self.spark.createDataFrame([(0, query)], "image_id long, vector array<double>")
         return self.table.join(self._hashes(one).drop("image_id"), ["table", "key"], "left_semi").select("image_id").distinct()
 
-    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, image_id, distance for a table (query_id, vector): an equi-join on hashes, block by block."""
-        asked = self._hashes(queries.withColumnRenamed("query_id", "image_id")).withColumnRenamed("image_id", "query_id")
-        return self._nearest(asked.groupBy("query_id").agg(F.collect_set(_code(F.col("table"), F.col("key"))).alias("codes")), queries, k)
+    def _coders(self) -> tuple[Callable, Callable]:
+        planes, bucket = np.array(list(self.model._java_obj.randMatrix().toArray())).reshape(self.dim, self.params["tables"]), self.params["bucket"]
+
+        def has(v):
+            return _code(np.arange(planes.shape[1]), np.floor(_unit(v) @ planes / bucket).astype(np.int64))
+
+        return has, has

@@ -165,6 +165,32 @@ def test_candidate_pairs_are_not_rows(spark, make, monkeypatch):
     assert 300 <= seen[0] <= 300 * 8
 
 
+@pytest.mark.parametrize("make", [ann.SignKeys, lambda t: ann.BucketedLSH(t, bucket=0.25)])
+def test_tasks_keep_k_rows_over_all_their_blocks(spark, monkeypatch, make):
+    """However many blocks a task meets, k rows a query leave it; keys are never rows, and the k nearest candidates are found."""
+    m = np.random.default_rng(8).normal(size=(600, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], SCHEMA).cache()
+    queries = table.filter("image_id % 20 = 0").withColumnRenamed("image_id", "query_id")
+    monkeypatch.setattr(ann, "VALUES", 6 * 10, raising=False)
+    monkeypatch.setattr(ann, "ROW_PARTS", 2)
+    monkeypatch.setattr(ann, "DEPTH", 100, raising=False)
+    seen = []
+    monkeypatch.setattr(ann, "ranked", lambda rows, *how: (seen.append((rows.count(), rows._jdf.queryExecution().toString())), search.ranked(rows, *how))[1])
+    index = make(table).build()
+    got = {}
+    for r in index.search_many(queries, 3).collect():
+        got.setdefault(r["query_id"], []).append(r["image_id"])
+    assert seen[0][0] <= 30 * 3 * 2 and "Generate" not in seen[0][1]
+    keys = {}
+    for r in index.table.collect():
+        keys.setdefault(r["image_id"], set()).add((r["table"], r["key"]))
+    near = lambda a, b: a == b or isinstance(index, ann.SignKeys) and a[0] == b[0] and bin(a[1] ^ b[1]).count("1") == 1
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 600, 20):
+        some = [i for i in range(600) if any(near(a, b) for a in keys[q] for b in keys[i])]
+        assert got[q] == sorted(some, key=lambda i: -(unit[i] @ unit[q]))[:3]
+
+
 @pytest.mark.parametrize("metric", D.INDEX_METRICS)
 def test_blocks_agree_with_expressions(spark, metric):
     """Rows that share a code with a query, the k nearest of them, ties by id."""
