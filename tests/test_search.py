@@ -191,6 +191,15 @@ def test_tasks_keep_k_rows_over_all_their_blocks(spark, monkeypatch, make):
         assert got[q] == sorted(some, key=lambda i: -(unit[i] @ unit[q]))[:3]
 
 
+def test_lsh_codes_are_those_of_spark(spark, rows):
+    """Tasks make the hashes that Spark's model gives."""
+    table, m = rows
+    index = ann.BucketedLSH(table, bucket=0.25).build()
+    has, _ = index._coders()
+    want = {(r["image_id"], (r["table"] << 48) + r["key"]) for r in index.table.collect()}
+    assert {(1000 + i, code) for i, codes in enumerate(has(np.array(m, dtype=float)).tolist()) for code in codes} == want
+
+
 @pytest.mark.parametrize("metric", D.INDEX_METRICS)
 def test_blocks_agree_with_expressions(spark, metric):
     """Rows that share a code with a query, the k nearest of them, ties by id."""
