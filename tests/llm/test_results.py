@@ -241,6 +241,23 @@ def test_forgotten_pieces_are_learnt_again(monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_marks_after_words_are_set_apart():
+    """Ids are the library's, and a word is learned once, whatever marks follow it."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["word word!! word### word$$$", "caf\u00e9. caf\u00e9!! \u00c9!!", "it's. a'b!! can't! x'!! a. 's", "\u0130!! \u03a3\u0391\u03a3! \u0149$", "a\u2260 e\u0301!! x!\u0301 y=\u0338", "a!!\u200d b a-- --b 5!! a5!! a!5", "cd!\x0bab!\x1f \u00ff~~ \u0100^_`"]
+    encoder = PieceEncoder(path)
+    import pyarrow as pa
+
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    known = set(encoder.known.to_pylist())
+    assert {"word", "!!", "caf\u00e9"} <= known and not known & {"word!!", "word###", "caf\u00e9!!"}
+
+
 def test_token_files(spark, documents):
     from tokenizers import Tokenizer
 
