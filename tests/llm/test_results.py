@@ -662,3 +662,21 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 299)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)} | {300: 299}
+
+
+def test_passages_that_an_earlier_document_stands_for(spark):
+    """As by comparing all with all, with joins on ids only: rows don't grow with the square of a document's passages."""
+    from nearfield.llm.substring import _represented
+
+    r = random.Random(4)
+    rows = {(b, x, x + n, a, y, y + n) for b in range(12) for a in range(b) for _ in range(6) for x, y, n in [(r.randrange(4) * 10, r.randrange(4) * 10, 50 + r.randrange(4) * 10)]}
+    names = "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int"
+    got = _represented(spark.createDataFrame(sorted(rows), names))
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("<" in line and "exists(" not in line for line in joins)
+
+    def stood(b, x0, x1, a, y0, y1):
+        return any(h[0] == b and h[1] <= x0 and h[2] >= x1 and h[3] < a and any(t[0] == a and t[3] == h[3] and t[1] <= y0 and t[2] >= y1 for t in rows) for h in rows)
+
+    want = {p for p in rows if not stood(*p)}
+    assert {tuple(g) for g in got.collect()} == want and 0 < len(want) < len(rows)
