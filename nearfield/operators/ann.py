@@ -36,9 +36,13 @@ from nearfield.operators.knn import _kernel
 from nearfield.operators.search import check_k, nonzero, ranked, top_k
 
 #: Values of a block of vectors, rows of it at most, queries compared at once, pairs compared exactly at once.
-VALUES, ROWS, STEP, PAIRS = 1 << 19, 8192, 256, 1 << 16
-#: Rows are dealt into so many parts, and more where a part would have over `DEPTH` blocks.
-ROW_PARTS, DEPTH = 16, 32
+VALUES, ROWS, STEP, PAIRS = 1 << 19, 8192, 2048, 1 << 15
+#: Rows and queries of a matrix product that stays in a core's cache.
+TILE, WIDE = 256, 512
+#: Rows are dealt into so many parts, fewer if many queries make `TASKS` anyhow, and more where a part would have over `DEPTH` blocks.
+ROW_PARTS, TASKS, DEPTH = 16, 96, 128
+#: Of more than `MANY` rows about `FIRST` are met before the others, so that tasks know from the start how near a row has to be.
+MANY, FIRST = 1 << 17, 1 << 14
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,7 +58,7 @@ class _Index:
             raise ValueError(f"an index takes one of {D.INDEX_METRICS}, not {metric!r}")
         self.spark, self.metric, self.params = features.sparkSession, metric, params
         self.rejected = 0
-        self.features = nonzero(features)
+        self.given, self.features = features, nonzero(features)
         self.shards: list = []
 
     def manifest(self) -> dict:
@@ -112,23 +116,48 @@ class _Index:
         """query_id, rank, image_id, distance of the k nearest candidates of each row of a table (query_id, vector), block by block."""
         check_k(k)
         size = max(1, min(ROWS, VALUES // max(1, self.dim)))
-        asking = _blocks(queries.withColumnRenamed("query_id", "image_id"), size)
-        asking = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns]).repartition(max(1, -(-queries.count() // size)))
-        blocks = -(-self.num_vectors // size)
-        pairs = asking.crossJoin(_blocks(self.features, size).repartition(max(1, min(ROW_PARTS, blocks), -(-blocks // DEPTH))))
+        parts, blocks = max(1, -(-queries.count() // size)), -(-self.num_vectors // size)
+        # queries are dealt evenly, then packed, then each part is moved as a whole
+        asking = _blocks(queries.withColumnRenamed("query_id", "image_id").repartition(parts), size)
+        asking = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns], F.lit(b"").alias("q_edges"))
         (has, asks), metric, dim = self._coders(), self.metric, self.dim
 
-        def run(stream):
-            held: dict[bytes, list[_Nearest]] = {}
+        def nearest(qi, qv, qe):
+            ids, q = _unpacked(qi, qv, dim)
+            edges = np.frombuffer(qe.as_buffer()) if len(qe.as_buffer()) else np.full(len(ids), np.inf)
+            parts = [slice(at, at + STEP) for at in range(0, len(ids), STEP)]
+            return [_Nearest(ids[some], q[some].astype(float), asks(q[some].astype(float)), k, metric, edges[some]) for some in parts]
+
+        def meet(stream):
+            """The queries (ids, vectors), and those nearest to them in all row blocks of the stream."""
+            held: dict[bytes, tuple] = {}
+            last = rows = None
             for batch in stream:
-                for qi, qv, ci, cv in zip(*batch.columns, strict=True):
+                for ci, cv, qi, qv, qe in zip(*batch.columns, strict=True):
                     if (name := qi.as_py()) not in held:
-                        ids, q = _unpacked(qi, qv, dim)
-                        held[name] = [_Nearest(ids[at : at + STEP], q[at : at + STEP], asks(q[at : at + STEP]), k, metric) for at in range(0, len(ids), STEP)]
-                    rows = _Rows(*_unpacked(ci, cv, dim), has, metric)
-                    for some in held[name]:
+                        held[name] = qv.as_py(), nearest(qi, qv, qe)
+                    if rows is None or last != (ci, cv):
+                        last, rows = (ci, cv), _Rows(*_unpacked(ci, cv, dim), has, metric)
+                    for some in held[name][1]:
                         some.add(rows)
-            for some in held.values():
+            return held
+
+        if self.num_vectors > MANY:
+            first = nonzero(self.given.filter(F.pmod(F.xxhash64("image_id"), F.lit(self.num_vectors // FIRST)) == 0))
+
+            def edges(stream):
+                for name, (vectors, parts) in meet(stream).items():
+                    edge = np.concatenate([part.edge for part in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (name, vectors, edge.tobytes())], ["q_ids", "q_vectors", "q_edges"])
+
+            asking = _blocks(first, size).repartition(1).crossJoin(asking).mapInArrow(edges, "q_ids binary, q_vectors binary, q_edges binary")
+        # a part for each block, whether they lie in one partition or in many
+        asking = asking.repartitionById(parts, ((F.spark_partition_id() + F.monotonically_increasing_id() % (1 << 33)) % parts).cast("int"))
+        # rows are the left side, which a task reads as a stream; it holds the right side
+        pairs = _blocks(self.features, size).repartition(max(1, min(ROW_PARTS, blocks, -(-TASKS // parts)), -(-blocks // DEPTH))).crossJoin(asking)
+
+        def run(stream):
+            for _, some in meet(stream).values():
                 for part in some:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in part.found()], ["query_id", "image_id", "distance"])
 
@@ -181,9 +210,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unpacked(ids: pa.BinaryScalar, vectors: pa.BinaryScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a block."""
+    """Ids and vectors of a block, as they were packed."""
     i, raw = np.frombuffer(ids.as_buffer(), dtype=np.int64), vectors.as_buffer()
-    return i, np.frombuffer(raw, dtype=np.float32 if raw.size == 4 * dim * len(i) else float).reshape(len(i), dim).astype(float)
+    return i, np.frombuffer(raw, dtype=np.float32 if raw.size == 4 * dim * len(i) else float).reshape(len(i), dim)
 
 
 def _meet(qi, qv, qc, qn, ci, cv, cc, cn, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,17 +242,40 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """A block of rows: ids, vectors, and the codes of some of them."""
+    """A block of rows: ids, vectors, and of those asked for the codes and the sizes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Callable | None, metric: str, codes: np.ndarray | None = None):
-        self.ids, self.vectors, self.coder, self.codes = ids, vectors, coder, codes
+        self.ids, self.coder, self.codes = ids, coder, codes
+        self.known = np.full(len(ids), codes is not None)
         if metric == "angular":
-            self.unit, self.size = _unit(vectors).astype(np.float32), _sizes(vectors)
+            self.vectors, self.unit, self.size = vectors, _short_unit(vectors), np.zeros(len(ids))
+            self.sized = np.zeros(len(ids), dtype=bool)
+            self.room = np.empty(TILE * WIDE, dtype=np.float32)
         else:
-            self.size, self.largest = None, _largest(vectors)
+            self.vectors = vectors.astype(float)
+            self.largest = _largest(self.vectors)
 
     def codes_of(self, some: np.ndarray) -> np.ndarray:
-        return self.coder(self.vectors[some]) if self.codes is None else self.codes[some]
+        """Made when first asked for; the rows in some differ."""
+        new = some[~self.known[some]]
+        if len(new):
+            codes = self.coder(self.vectors[new].astype(float))
+            if self.codes is None:
+                self.codes = np.zeros((len(self.ids), codes.shape[1]), dtype=np.int64)
+            self.codes[new], self.known[new] = codes, True
+        return self.codes[some]
+
+    def sizes_of(self, some: np.ndarray) -> np.ndarray:
+        new = np.unique(some[~self.sized[some]])
+        self.size[new], self.sized[new] = _sizes(self.vectors[new].astype(float)), True
+        return self.size[some]
+
+
+def _short_unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1 as floats; zeros stay zeros."""
+    with np.errstate(all="ignore"):
+        size = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=float))[:, None]
+        return np.divide(m, np.where(size == 0, 1.0, size)).astype(np.float32)
 
 
 def _largest(m: np.ndarray) -> float:
@@ -244,16 +296,21 @@ def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Nearest:
     """Queries, and of all rows added the k nearest that share a code with each, ties by id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int, metric: str):
-        self.ids, self.q, self.k, self.metric, self.seen = ids, vectors, k, metric, 0
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int, metric: str, edge: np.ndarray | None = None):
+        """edge: distances within which k candidates of each are known to be, if any are."""
+        self.ids, self.q, self.k, self.metric = ids, vectors, k, metric
+        self.seen = 0 if edge is None or np.isinf(edge).all() else FIRST
         self.codes, at = np.unique(asked, return_inverse=True)
         # which codes a query asks for; the last column stands for all codes that none asks for
         self.asks = np.zeros((len(ids), len(self.codes) + 1), dtype=bool)
         self.asks[np.arange(len(ids))[:, None], at.reshape(asked.shape)] = True
         self.x, self.y, self.d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.edge = np.full(len(ids), np.inf)
+        self.edge = np.full(len(ids), np.inf) if edge is None else edge.copy()
         if metric == "angular":
-            self.unit, self.size = _unit(vectors).astype(np.float32), _sizes(vectors)
+            # turned, as the product with a tile then has a row of it for each row and its maxima go by columns
+            unit = _short_unit(vectors)
+            self.turned = [np.ascontiguousarray(unit[low : low + WIDE].T) for low in range(0, len(unit), WIDE)]
+            self.size = _sizes(vectors)
         else:
             self.kernel, self.largest = _kernel(metric), _largest(vectors)
 
@@ -261,23 +318,39 @@ class _Nearest:
         at = 0
         while at < len(rows.ids):
             # few at first: they tell how near the others have to be
-            upto = at + max(16, self.seen)
+            upto = min(len(rows.ids), at + max(16, self.seen))
             x, y = self._near(rows, slice(at, upto))
             for low in range(0, len(x), PAIRS):
                 self._take(rows, x[low : low + PAIRS], y[low : low + PAIRS] + at)
-            self.seen += len(rows.ids[at:upto])
+            self.seen += upto - at
             at = upto
 
     def _near(self, rows: _Rows, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may be nearer than the k-th; the matrix product rounds in other ways than the distance itself, so what is about that near stays in the running."""
         with np.errstate(all="ignore"):
             if self.metric == "angular":
-                rounding = 3e-7 * (self.q.shape[1] + 8)
-                far = self.unit @ rows.unit[part].T < (1 - self.edge * self.edge / 2 - rounding).astype(np.float32)[:, None]
-            else:
-                far = self.kernel(self.q, rows.vectors[part]) > (self.edge + 1e-6 * max(1.0, self.largest, rows.largest))[:, None]
+                return self._alike(rows, part)
+            far = self.kernel(self.q, rows.vectors[part]) > (self.edge + 1e-6 * max(1.0, self.largest, rows.largest))[:, None]
         return _places(~far)
 
+    def _alike(self, rows: _Rows, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """By tiles that stay in the cache: most queries' nearest row of a tile is too far already, so only the others' columns are looked at."""
+        rounding = 3e-7 * (self.q.shape[1] + 8)
+        least = (1 - self.edge * self.edge / 2 - rounding).astype(np.float32)
+        xs, ys = [], []
+        for i, turned in enumerate(self.turned):
+            low, n = i * WIDE, turned.shape[1]
+            for at in range(part.start, part.stop, TILE):
+                unit = rows.unit[at : min(at + TILE, part.stop)]
+                alike = np.matmul(unit, turned, out=rows.room[: len(unit) * n].reshape(len(unit), n))
+                some = np.flatnonzero(~(alike.max(axis=0) < least[low : low + n]))
+                if len(some):
+                    x, y = np.nonzero(~(alike[:, some].T < least[low + some, None]))
+                    xs.append(low + some[x])
+                    ys.append(y + (at - part.start))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
     def _take(self, rows: _Rows, x: np.ndarray, y: np.ndarray) -> None:
         own, place = np.unique(y, return_inverse=True)
         codes = rows.codes_of(own)
@@ -287,25 +360,28 @@ class _Nearest:
         x, y = x[met], y[met]
         if not len(x):
             return
-        sizes = self.size[x] * rows.size[y] if self.metric == "angular" else None
+        with np.errstate(all="ignore"):
+            sizes = self.size[x] * rows.sizes_of(y) if self.metric == "angular" else None
         d = _exact(self.metric, self.q[x], rows.vectors[y], sizes)
-        x, y, d = np.concatenate([self.x, x]), np.concatenate([self.y, rows.ids[y]]), np.concatenate([self.d, d])
+        changed = np.zeros(len(self.ids), dtype=bool)
+        changed[x] = True
+        old = changed[self.x]
+        held = [z[~old] for z in (self.x, self.y, self.d)]
+        x, y, d = np.concatenate([self.x[old], x]), np.concatenate([self.y[old], rows.ids[y]]), np.concatenate([self.d[old], d])
         order = np.lexsort((y, d, x))
         x, y, d = x[order], y[order], d[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)
         last = rank == self.k - 1
-        self.edge[x[last]] = d[last]
-        self.x, self.y, self.d = (z[rank < self.k] for z in (x, y, d))
+        self.edge[x[last]] = np.minimum(self.edge[x[last]], d[last])
+        self.x, self.y, self.d = (np.concatenate([h, z[rank < self.k]]) for h, z in zip(held, (x, y, d), strict=True))
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.ids[self.x], self.y, self.d
 
 
 def _total(term: Callable, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        out += term(x[:, j], y[:, j])
-    return out
+    """One value after the other, which a running sum does and a plain one does not."""
+    return np.cumsum(term(x, y), axis=1, dtype=float)[:, -1]
 
 
 def _sizes(m: np.ndarray) -> np.ndarray:

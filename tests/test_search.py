@@ -191,6 +191,51 @@ def test_tasks_keep_k_rows_over_all_their_blocks(spark, monkeypatch, make):
         assert got[q] == sorted(some, key=lambda i: -(unit[i] @ unit[q]))[:3]
 
 
+@pytest.mark.parametrize("make", [ann.SignKeys, lambda t: ann.BucketedLSH(t, bucket=0.25)])
+def test_tasks_know_how_near_rows_have_to_be(spark, monkeypatch, make):
+    """Some rows are met first: what is farther than the k nearest of them leaves no task, and the k nearest candidates are found."""
+    m = np.random.default_rng(9).normal(size=(900, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], SCHEMA).cache()
+    queries = table.filter("image_id % 20 = 0").withColumnRenamed("image_id", "query_id")
+    for name, value in (("VALUES", 6 * 10), ("ROW_PARTS", 9), ("TASKS", 90), ("MANY", 100), ("FIRST", 300), ("STEP", 7), ("TILE", 4), ("WIDE", 3)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    seen = []
+    monkeypatch.setattr(ann, "ranked", lambda rows, *how: (seen.append(rows.count()), search.ranked(rows, *how))[1])
+    index = make(table).build()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {(r["query_id"], r["rank"]): r["image_id"] for r in index.search_many(queries, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 45 * 3 <= seen[0] <= 45 * 3 * 5  # nine parts, each of which would have k rows a query
+    has, asks = index._coders()
+    codes, asked = has(m), asks(m)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 900, 20):
+        some = [i for i in range(900) if np.isin(codes[i], asked[q]).any()]
+        assert [got[q, rank] for rank in (1, 2, 3)] == sorted(some, key=lambda i: -(unit[i] @ unit[q]))[:3]
+
+
+def test_odd_vectors_by_tiles(monkeypatch):
+    """Angles of vectors that are not finite, huge, tiny or zero: what a whole matrix of distances says."""
+    r = np.random.default_rng(4)
+    q, c = r.normal(size=(30, 5)), r.normal(size=(200, 5))
+    for m in (q, c):
+        m[0], m[1, 2], m[2, 3], m[3], m[4], m[5] = 0.0, np.nan, np.inf, m[3] * 1e30, m[4] * 1e-30, m[6]
+    for name, value in (("STEP", 11), ("TILE", 8), ("WIDE", 4)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    one = np.zeros(200, dtype=np.int64)
+    x, y, d = ann._meet(np.arange(30), q.ravel(), one[:30], one[:30] + 1, np.arange(200), c.ravel(), one, one + 1, 4, "angular")
+    with np.errstate(all="ignore"):
+        sizes = np.sqrt(np.cumsum(q * q, axis=1)[:, -1])[:, None] * np.sqrt(np.cumsum(c * c, axis=1)[:, -1])
+        all_ = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.cumsum(q[:, None] * c, axis=2)[..., -1] / sizes))
+    all_[sizes == 0] = np.inf
+    want = {(i, int(j)): all_[i, j] for i in range(30) for j in np.lexsort((np.arange(200), all_[i]))[:4]}
+    got = dict(zip(zip(x.tolist(), y.tolist(), strict=True), d.tolist(), strict=True))
+    assert got.keys() == want.keys() and all(got[p] == want[p] or np.isnan(got[p]) and np.isnan(want[p]) for p in want)
+
+
 def test_lsh_codes_are_those_of_spark(spark, rows):
     """Tasks make the hashes that Spark's model gives."""
     table, m = rows
